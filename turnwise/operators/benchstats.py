@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.operators import blocks
+
 # Published price per million tokens.
 CLAUDE_RATES = {
     "input_tokens": 3.00,
@@ -39,20 +41,33 @@ def run_deltas(sides: DataFrame, keys: list[str], side: str, metric: str, value:
 
 
 def delta_stats(deltas: DataFrame, *by: str, value: str = "delta") -> DataFrame:
-    """n, mean, median, min, max and sample deviation (0 for one run).
+    """n, mean, median, min, max and sample deviation (0 for one run)."""
+    rows = deltas.select(*by, F.col(value).cast("double").alias("_v")).filter(
+        F.col("_v").isNotNull()
+    )
+    stats = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("_v").alias("mean"),
+        F.min("_v").alias("min"),
+        F.max("_v").alias("max"),
+        F.coalesce(F.stddev_samp("_v"), F.lit(0.0)).alias("stdev"),
+    )
+    return stats.join(exact_median(rows, *by, value="_v"), list(by))
 
-    The runs of one suite and metric are few; for groups of any size the median is taken
-    from the counts of distinct values, which combine before the shuffle.
+
+def exact_median(rows: DataFrame, *by: str, value: str) -> DataFrame:
+    """Median from the one or two middle positions.
+
+    Positions come from the block-wise numbering, so a group of any size is ordered in
+    bounded pieces instead of in one buffer.
     """
-    v = F.col(value).cast("double")
-    return deltas.groupBy(*by).agg(
-        F.count(v).alias("n"),
-        F.avg(v).alias("mean"),
-        F.median(v).alias("median"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stdev"),
-    )
+    keyed = rows.select(F.struct(*by).alias("_g"), F.col(value).alias("_v"))
+    placed = blocks.dense_position(keyed, "_g", ["_v"])
+    sizes = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    low = F.floor((F.col("_n") - 1) / 2)
+    high = F.floor(F.col("_n") / 2)
+    middle = placed.join(sizes, "_g").filter((F.col("pos") == low) | (F.col("pos") == high))
+    return middle.groupBy("_g").agg(F.avg("_v").alias("median")).select("_g.*", "median")
 
 
 def quality_gate(runs: DataFrame, *by: str) -> DataFrame:
