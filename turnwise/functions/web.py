@@ -81,7 +81,7 @@ def authenticated(surface: Column, status: Column) -> Column:
 
 
 def first_client_ip(forwarded: Column, real_ip: Column, remote: Column) -> Column:
-    hops = F.filter(F.transform(F.split(forwarded, ","), F.trim), lambda p: p != "")
+    hops = F.filter(F.transform(F.split(forwarded, ","), lambda p: F.trim(p)), lambda p: p != "")
     port = r":\d+$"
     return F.coalesce(
         F.try_element_at(hops, F.lit(1)),

@@ -46,7 +46,7 @@ def top_reread_files(
     order = Window.partitionBy(log).orderBy(F.desc("reads"), F.asc(file))
     return (
         per_file.filter(F.col("reads") > 1)
-        .withColumn("rank", F.row_number().over(order))
+        .withColumn("rank", F.row_number().over(order).cast("long"))
         .filter(F.col("rank") <= k)
     )
 
@@ -308,7 +308,7 @@ def recency_rank(
         F.desc("score"), F.desc(mod_time), F.desc(size), F.desc(path)
     )
     return (
-        scored.withColumn("rank", F.row_number().over(order))
+        scored.withColumn("rank", F.row_number().over(order).cast("long"))
         .filter(F.col("rank") <= k)
         .drop("_newest")
     )

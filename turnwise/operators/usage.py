@@ -52,7 +52,9 @@ def top_k(counts: DataFrame, k: int, by: str = "dimension") -> DataFrame:
     The rank limit is applied before the shuffle as well as after it.
     """
     order = Window.partitionBy(by).orderBy(F.desc("count"), F.asc("key"))
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn(
+        "rank", F.col("rank").cast("long")
+    )
 
 
 def in_window(rows: DataFrame, ts: str, since=None, until=None) -> DataFrame:
