@@ -10,7 +10,12 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from turnwise.catalog import query
-from turnwise.catalog.scalars import IP_SQL, MENTIONED, match_sql, mentioned, q
+from turnwise.catalog.scalars import MENTIONED, match_sql, mentioned, q
+from turnwise.catalog.sessions import CALLS as RETRY_CALLS
+from turnwise.catalog.sessions import LOOPS as RETRY_LOOPS
+from turnwise.catalog.sessions import SEG as RETRY_SEG
+from turnwise.catalog.sessions import T as RETRY_T
+from turnwise.catalog.sessions import ev_calls
 from turnwise.functions import json_nodes as J
 from turnwise.functions import text as X
 from turnwise.operators import fingerprints as Fp
@@ -44,7 +49,7 @@ def n_rows(name: str = "n"):
 
 # Scans -----------------------------------------------------------------------------------------
 
-LINES = f"lines AS (SELECT doc_id AS log_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS turn, line AS raw FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), x -> regexp_replace(x, {TRIM}, '', 'g')) AS l FROM documents)) WHERE line <> '')"
+LINES = f"lines AS (SELECT doc_id AS log_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS turn, line AS raw FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, {TRIM}, '', 'g')) AS l FROM documents)) WHERE line <> '')"
 
 
 @query("s01_transcript_lines", f"WITH {LINES} SELECT log_id, turn, sha256(raw) AS line_hash FROM lines")
@@ -94,7 +99,7 @@ def _(spark, sf):
 
 @query("s05_accepted_files", f"SELECT source AS source_id, count(*) AS n FROM {PATH_SQL} WHERE source NOT IN ('copilot', 'unknown') GROUP BY 1")
 def _(spark, sf):
-    rows = log_paths(spark, sf).withColumn("source_id", L.infer_source(F.col("path")))
+    rows = L.with_source(log_paths(spark, sf))
     return rows.filter(L.accepted(F.col("path"), F.col("source_id"))).groupBy("source_id").agg(n_rows())
 
 
@@ -224,7 +229,7 @@ def _pack(batches):
 @query(
     "s14_bundles",
     """SELECT bundle, entry, content_hash, reject FROM (
-      SELECT path AS bundle, 'logs/' || i || '.jsonl' AS entry, sha256(line) AS content_hash, CAST(NULL AS VARCHAR) AS reject FROM (SELECT path, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT conv_id || '-' || turn AS path, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '\\S')) AS l FROM conversations)) WHERE NOT suffix(path, '7')
+      SELECT path AS bundle, 'logs/' || i || '.jsonl' AS entry, sha256(line) AS content_hash, CAST(NULL AS VARCHAR) AS reject FROM (SELECT path, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT conv_id || '-' || turn AS path, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')) AS l FROM conversations)) WHERE NOT suffix(path, '7')
       UNION ALL SELECT conv_id || '-' || turn, NULL, NULL, 'unsafe path' FROM conversations WHERE turn % 10 = 7)""",
 )
 def _(spark, sf):
@@ -459,7 +464,7 @@ def _(spark, sf):
     return rows.select("log_id", "mcp_header", F.array_join("mcp_exposed_ids", ",").alias("mcp_ids"), "mcp_unknown", "mcp_tools", "skill_header", F.array_join("skill_exposed_ids", ",").alias("skill_ids"), "skill_unknown")
 
 
-@query("f20_header_blocks", f"WITH {EXP} SELECT log_id, CASE WHEN header THEN 1 ELSE 0 END AS blocks, CASE WHEN header THEN listed + 3 ELSE 0 END AS lines FROM ex")
+@query("f20_header_blocks", f"WITH {EXP} SELECT log_id, CAST(CASE WHEN header THEN 1 ELSE 0 END AS BIGINT) AS blocks, CAST(CASE WHEN header THEN listed + 3 ELSE 0 END AS BIGINT) AS lines FROM ex")
 def _(spark, sf):
     b = T.header_blocks(F.col("content"), T.MCP_PHRASES)
     rows = exposure_logs(spark, sf).select("log_id", b.alias("b"))
@@ -467,7 +472,7 @@ def _(spark, sf):
     return rows.select("log_id", F.size("b").cast("long").alias("blocks"), lines.cast("long").alias("lines"))
 
 
-@query("j03_a37_calls_outside_headers", f"WITH {EXP} SELECT log_id, 2 AS call_count, 1 AS known_call_count, 1 AS unknown_call_count, 2 AS unique_servers, 2 AS unique_tools, 1 AS unique_known_called, 1 AS unique_unknown_called FROM ex")
+@query("j03_a37_calls_outside_headers", f"WITH {EXP} SELECT log_id, {', '.join(f'CAST({v} AS BIGINT) AS {c}' for c, v in (('call_count', 2), ('known_call_count', 1), ('unknown_call_count', 1), ('unique_servers', 2), ('unique_tools', 2), ('unique_known_called', 1), ('unique_unknown_called', 1)))} FROM ex")
 def _(spark, sf):
     calls = T.mcp_call_rows(exposure_logs(spark, sf), None)
     return T.summarize_mcp_calls(calls, "log_id")
@@ -482,12 +487,12 @@ def exposure_turns(spark, sf):
     )
 
 
-@query("a38_skill_executions", f"WITH {EXP} SELECT log_id, 2 AS executed_count, CAST(1 AS BIGINT) AS known_executed, CAST(1 AS BIGINT) AS unknown_executed FROM ex")
+@query("a38_skill_executions", f"WITH {EXP} SELECT log_id, CAST(2 AS BIGINT) AS executed_count, CAST(1 AS BIGINT) AS known_executed, CAST(1 AS BIGINT) AS unknown_executed FROM ex")
 def _(spark, sf):
     return T.summarize_skill_runs(T.skill_run_rows(exposure_turns(spark, sf)), "log_id")
 
 
-@query("a39_unknown_servers", f"WITH {EXP} SELECT log_id, 1 AS unknown_mcp_server_count FROM ex")
+@query("a39_unknown_servers", f"WITH {EXP} SELECT log_id, CAST(1 AS BIGINT) AS unknown_mcp_server_count FROM ex")
 def _(spark, sf):
     logs = exposure_logs(spark, sf)
     ids = spark.createDataFrame([("mcp", "github")], "category string, id string").crossJoin(logs.select("log_id"))
@@ -614,7 +619,7 @@ def _(spark, sf):
     return rec_parts(spark, sf)[2]
 
 
-@query("j07_fired_rules", f"WITH {SIG} SELECT log_id, CASE signal WHEN 'mcp_skill_bloat' THEN 1 WHEN 'tool_output_bloat' THEN 3 WHEN 'repeated_file_reads' THEN 4 ELSE 8 END AS precedence, signal AS for_signal FROM sig")
+@query("j07_fired_rules", f"WITH {SIG} SELECT log_id, CAST(CASE signal WHEN 'mcp_skill_bloat' THEN 1 WHEN 'tool_output_bloat' THEN 3 WHEN 'repeated_file_reads' THEN 4 ELSE 8 END AS BIGINT) AS precedence, signal AS for_signal FROM sig")
 def _(spark, sf):
     fired = R.fired_rules(rec_parts(spark, sf)[0], Tl.rule_signals(spark), "log_id")
     return fired.select("log_id", F.col("precedence").cast("long").alias("precedence"), "for_signal")
@@ -813,15 +818,13 @@ def _(spark, sf):
     return run_stream(spark, rows, St.new_hashes, "t06").select("hash")
 
 
-@query("t07_retry_stream")
+@query("t07_retry_stream", f"WITH {RETRY_T}, {RETRY_CALLS}, {RETRY_SEG}, {RETRY_LOOPS} SELECT log_id, CAST(args_hashed_retry_loops AS BIGINT) AS args_hashed_retry_loops FROM loops")
 def _(spark, sf):
-    from turnwise.catalog.sessions import ev_calls
-
     rows = run_stream(spark, ev_calls(spark, sf).select("log_id", "pos", "kind", "tool", "args_hash", "parent_hash", "error"), St.retry_stream, "t07")
     return rows.groupBy("log_id").agg(F.max("longest").alias("args_hashed_retry_loops"))
 
 
-@query("t01_log_intake")
+@query("t01_log_intake", f"WITH {LINES} SELECT count(*) AS turns FROM lines")
 def _(spark, sf):
     base = scratch(spark, "t01")
     docs = Ad.table(spark, sf, "documents").select(F.col("text").alias("value"), (F.col("doc_id") % 8).alias("part"))
@@ -832,4 +835,4 @@ def _(spark, sf):
         turns.groupBy("log_id").agg(n_rows("turns")).write.mode("append").parquet(base + "/out")
 
     St.intake(spark, base + "/in", base + "/state", handle, glob="*.txt").awaitTermination()
-    return spark.read.parquet(base + "/out").agg(F.sum("turns").alias("turns"), n_rows("logs"))
+    return spark.read.parquet(base + "/out").agg(F.sum("turns").alias("turns"))

@@ -55,6 +55,18 @@ RELEVANCE_MARKERS = (
 )
 
 
+# A word boundary between ASCII word characters and anything else. Java's own one also
+# counts letters beyond ASCII, which the patterns here do not mean.
+_EDGE = (
+    r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+)
+
+
+def ascii_edges(pattern: str) -> str:
+    """The pattern with ASCII word boundaries."""
+    return pattern.replace(r"\b", _EDGE)
+
+
 def redaction_marker(family: str) -> str:
     return "[REDACTED-" + family.upper().replace("_", "-") + "]"
 
@@ -131,7 +143,7 @@ def base_name(path: Column) -> Column:
 
 
 def file_reads(text: Column, pattern: str = FILE_READ) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), base_name)
+    return F.transform(F.regexp_extract_all(text, F.lit(ascii_edges(pattern)), F.lit(1)), base_name)
 
 
 def slash_tokens(text: Column) -> Column:
@@ -200,9 +212,9 @@ def matching_ids(text: Column, signatures) -> Column:
     """Sorted ids of the signatures of which at least one pattern occurs."""
     hits = []
     for sig_id, patterns in signatures:
-        hit = text.rlike(patterns[0])
+        hit = text.rlike(ascii_edges(patterns[0]))
         for pattern in patterns[1:]:
-            hit = hit | text.rlike(pattern)
+            hit = hit | text.rlike(ascii_edges(pattern))
         hits.append(F.when(hit, F.lit(sig_id)))
     return F.sort_array(F.array_compact(F.array(*hits)))
 

@@ -29,9 +29,9 @@ def marker_hits(
     for detector, marker, cls, pattern, _, _, negative in markers:
         if cls in ("cli_binary", "cli_version_probe"):
             continue
-        hit = text.rlike(pattern)
+        hit = text.rlike(X.ascii_edges(pattern))
         if cls == "slash_command" and slash is not None:
-            hit = hit | F.col(slash).rlike(pattern)
+            hit = hit | F.col(slash).rlike(X.ascii_edges(pattern))
         entries.append(
             F.when(
                 hit,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions import text as X
+from turnwise.functions.json_nodes import settled
 
 # Text patterns that show a server or skill name, and names that never are one.
 TEXT_RULES = (
@@ -38,8 +39,9 @@ def last_segment(value: Column) -> Column:
     return F.substring_index(own, "/", -1)
 
 
-def mcp_id(name: Column, title: Column) -> Column:
-    options = [candidate_id(last_segment(c)) for c in (title, name)]
+def mcp_id(by_name: Column, by_title: Column) -> Column:
+    """The id of the title, else of the name; generic words do not count."""
+    options = (by_title, by_name)
     return F.coalesce(
         *[F.when(~o.isin("", "mcp", "server"), o) for o in options], F.lit("")
     )
@@ -80,7 +82,7 @@ CANDIDATE = ("source_id", "url", "page", "category", "id", "label", "evidence",
 def _text_entries(text: Column) -> Column:
     parts = []
     for category, pattern, mark in TEXT_RULES:
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        found = F.regexp_extract_all(text, F.lit(X.ascii_edges(pattern)), F.lit(1))
         parts.append(F.transform(found, _named(category, mark)))
     return F.filter(
         F.concat(*parts),
@@ -118,10 +120,15 @@ def from_mcp_registry(pages: DataFrame, body: str = "body") -> DataFrame:
         *keep, F.explode(F.from_json(body, schema)["servers"]["server"]).alias("s")
     )
     e = lambda c: F.coalesce(c, F.lit(""))
-    name, title = e(F.col("s.name")), e(F.col("s.title"))
+    items = settled(items, {"_name": e(F.col("s.name")), "_title": e(F.col("s.title"))})
+    name, title = F.col("_name"), F.col("_title")
+    items = settled(
+        items,
+        {"_by_title": candidate_id(last_segment(title)), "_by_name": candidate_id(last_segment(name))},
+    )
     servers = items.select(
         *keep,
-        mcp_id(name, title).alias("id"),
+        mcp_id(F.col("_by_name"), F.col("_by_title")).alias("id"),
         F.coalesce(F.nullif(title, F.lit("")), name).alias("label"),
         F.lit(2).cast("long").alias("evidence"),
     ).withColumn("labels", F.array("label"))

@@ -56,6 +56,11 @@ def infer_source(path: Column, rules=PATH_RULES) -> Column:
     return out.otherwise("unknown")
 
 
+def with_source(files: DataFrame, path: str = "path", out: str = "source_id") -> DataFrame:
+    """Add the inferred source, computed once per row."""
+    return J.settled(files, {out: infer_source(F.col(path))})
+
+
 def accepted(path: Column, source: Column) -> Column:
     """Whether a source takes files of this path."""
     out = None
@@ -226,29 +231,22 @@ def copilot_rows(sessions: DataFrame, log: str = "log_id", content: str = "conte
     whole = F.coalesce(requests, F.array("_v"))
     reqs = rows.filter(F.col("_v").isNotNull()).select(log, F.posexplode(whole).alias("_r", "_q"))
 
+    parts_of = ("text", "content", "value", "message")
+
+    def plain(value):
+        """Text of a string, or of the first text-like field of an object."""
+        fields = [F.try_variant_get(value, f"$.{k}", "variant") for k in parts_of]
+        own = [
+            F.when(F.schema_of_variant(v) == "STRING", F.nullif(F.trim(F.try_variant_get(v, "$", "string")), F.lit("")))
+            for v in (value, *fields)
+        ]
+        return F.coalesce(*own, F.lit(""))
+
     def text_of(*keys):
-        options = []
-        for key in keys:
-            options += [
-                F.try_variant_get("_q", f"$.{key}", "string"),
-                *[F.try_variant_get("_q", f"$.{key}.{k}", "string") for k in ("text", "content", "value", "message")],
-                F.array_join(
-                    F.filter(
-                        F.transform(
-                            F.try_variant_get("_q", f"$.{key}", "array<variant>"),
-                            lambda v: F.coalesce(
-                                F.try_variant_get(v, "$", "string"),
-                                *[F.try_variant_get(v, f"$.{k}", "string") for k in ("text", "content", "value", "message")],
-                                F.lit(""),
-                            ),
-                        ),
-                        lambda t: t != "",
-                    ),
-                    "\n",
-                ),
-            ]
-        kept = [F.when(F.trim(o).substr(1, 1).isin("{", "["), None).otherwise(F.nullif(F.trim(o), F.lit(""))) for o in options]
-        return F.coalesce(*kept, F.lit(""))
+        first = F.coalesce(*[F.try_variant_get("_q", f"$.{k}", "variant") for k in keys])
+        items = F.try_variant_get(first, "$", "array<variant>")
+        listed = F.array_join(F.filter(F.transform(items, lambda v: plain(v)), lambda t: t != ""), "\n")
+        return F.coalesce(F.nullif(plain(first), F.lit("")), listed, F.lit(""))
 
     def said(role, order, *keys):
         body = text_of(*keys)

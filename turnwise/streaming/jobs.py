@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from turnwise.functions import web as Wb
+from turnwise.functions.json_nodes import settled
 from turnwise.operators import usage as U
 
 # Provider event names and ours.
@@ -37,9 +38,8 @@ def parse_mail_events(messages: DataFrame, body: str = "value") -> DataFrame:
     """Delivery events of enveloped messages, one per recipient (T02); works on both batch
     and streams. Unusable messages give one row with a reject reason."""
     outer = F.from_json(body, ENVELOPE)
-    rows = messages.withColumn("_o", outer).withColumn(
-        "_m", F.from_json(F.col("_o.Message"), MAIL_EVENT)
-    )
+    rows = settled(messages, {"_o": outer})
+    rows = settled(rows, {"_m": F.from_json(F.col("_o.Message"), MAIL_EVENT)})
     raw_type = F.lower(F.trim(F.coalesce("_m.eventType", F.lit(""))))
     names = F.create_map(*[F.lit(x) for pair in MAIL_TYPES.items() for x in pair])
     rows = rows.withColumn("type", F.try_element_at(names, raw_type))
@@ -100,14 +100,22 @@ class SuppressionState(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        batch = pd.concat(list(rows)).sort_values("created_at", kind="stable")
+        # Chunk by chunk: an address may have any number of rows in a batch.
         state = self._state.get()
         counts = dict(zip(("bounce", "complaint", "reject"), state[:3] if state else (0, 0, 0)))
-        first = state[3] if state else batch["created_at"].iloc[0].to_pydatetime()
-        for kind, n in batch["type"].value_counts().items():
-            counts[kind] += int(n)
+        first = state[3] if state else None
+        last = None
+        for chunk in rows:
+            for kind, n in chunk["type"].value_counts().items():
+                counts[kind] += int(n)
+            if state is None:
+                low = chunk["created_at"].min()
+                first = low if first is None else min(first, low)
+            newest = chunk.loc[chunk["created_at"].idxmax()]
+            if last is None or newest["created_at"] >= last["created_at"]:
+                last = newest
+        first = pd.Timestamp(first).to_pydatetime()
         self._state.update((counts["bounce"], counts["complaint"], counts["reject"], first))
-        last = batch.iloc[-1]
         yield pd.DataFrame(
             {
                 "email_hash": [key[0]],
@@ -149,11 +157,14 @@ def usage_stream(events: DataFrame, watermark: str = "1 day") -> DataFrame:
 class OpenRequests(StatefulProcessor):
     """Results whose request is open (T05): one state per (log, request id) with a TTL."""
 
-    def __init__(self, ttl_ms: int = 86_400_000):
+    def __init__(self, ttl_ms: int | None = None):
         self._ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._open = handle.getValueState("open", "open boolean", self._ttl_ms)
+        if self._ttl_ms:
+            self._open = handle.getValueState("open", "open boolean", self._ttl_ms)
+        else:
+            self._open = handle.getValueState("open", "open boolean")
 
     def handleInputRows(self, key, rows, timerValues):
         batch = pd.concat(list(rows)).sort_values(["turn", "seq"], kind="stable")
@@ -170,12 +181,16 @@ class OpenRequests(StatefulProcessor):
         pass
 
 
-def matched_stream(events: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
-    """Tool calls and the results that answer an open one, as J02 does in batch."""
+def matched_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Tool calls and the results that answer an open one, as J02 does in batch.
+
+    With a time to live the state of a request is dropped after it. Such a query has timers
+    and does not end under an available-now trigger.
+    """
     columns = ["log_id", "request_id", "turn", "seq", "kind"]
     rows = events.select(*columns)
     return rows.groupBy("log_id", "request_id").transformWithStateInPandas(
-        OpenRequests(ttl_ms), rows.schema, "Append", "ProcessingTime"
+        OpenRequests(ttl_ms), rows.schema, "Update", "ProcessingTime" if ttl_ms else "None"
     )
 
 
