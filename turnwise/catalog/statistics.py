@@ -56,13 +56,13 @@ def _(spark, sf):
 
 
 COST = "(a * 3.0 + c * 6.0 + r * 0.3 + o * 15.0) / 1000000"
-COSTS = f"costs AS (SELECT l_suppkey % 12 AS suite, {COST} AS b, ((a - l_linenumber) * 3.0 + c * 6.0 + r * 0.3 + o * 12.0) / 1000000 AS o FROM (SELECT *, l_partkey AS a, l_orderkey % 1000 AS c, CAST(l_extendedprice AS BIGINT) AS r, CAST(l_quantity AS BIGINT) AS o FROM lineitem))"
+COSTS = f"costs AS (SELECT l_suppkey % 12 AS suite, {COST} AS b, ((a - l_linenumber) * 3.0 + c * 6.0 + r * 0.3 + o * 12.0) / 1000000 AS o FROM (SELECT *, l_partkey AS a, l_orderkey % 1000 AS c, CAST(trunc(l_extendedprice) AS BIGINT) AS r, CAST(l_quantity AS BIGINT) AS o FROM lineitem))"
 
 
 def costs(spark, sf):
     li = Ad.table(spark, sf, "lineitem").select(
         (F.col("l_suppkey") % 12).alias("suite"), "l_linenumber", F.col("l_partkey").alias("input_tokens"), (F.col("l_orderkey") % 1000).alias("cache_creation_input_tokens"),
-        F.round("l_extendedprice").cast("long").alias("cache_read_input_tokens"), F.col("l_quantity").cast("long").alias("output_tokens"),
+        F.col("l_extendedprice").cast("long").alias("cache_read_input_tokens"), F.col("l_quantity").cast("long").alias("output_tokens"),
     )
     own = F.struct("input_tokens", "cache_creation_input_tokens", "cache_read_input_tokens", "output_tokens")
     less = F.struct(
