@@ -15,7 +15,7 @@ def events(spark, source, lines):
 
 
 def signals(spark, source, lines):
-    return Se.session_signals(N.with_event_position(events(spark, source, lines))).first()
+    return Se.session_signals(N.with_event_position(events(spark, source, lines)), step=N.POSITION_STEP).first()
 
 
 def use(n, cmd="cat a"):

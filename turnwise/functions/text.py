@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from turnwise.functions.json_nodes import settled
+
 # The 14 secret families in the order they are applied.
 SECRET_RULES = (
     ("api_key", r"""(?i)(api[_-]?key|token|secret)["'=:\s]+([A-Za-z0-9_\-]{24,})"""),
@@ -32,6 +36,25 @@ SECRET_RULES = (
     ("email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"),
 )
 
+# Lower-case text of which each family needs at least one piece; a text without it skips
+# the family's regular expression.
+SECRET_HINTS = {
+    "api_key": ("key", "token", "secret"),
+    "anthropic_key": ("sk-ant-",),
+    "openai_key": ("sk-",),
+    "github_token": ("gh",),
+    "npm_token": ("npm_",),
+    "aws_access_key": ("akia",),
+    "google_api_key": ("aiza",),
+    "jwt": ("eyj",),
+    "ssh_private_key": ("-----begin openssh",),
+    "private_key": ("private key-----",),
+    "database_url": ("://",),
+    "url_credential": ("://",),
+    "cookie": ("cookie",),
+    "email": ("@",),
+}
+
 # Patterns that must find what the analyzed tools write.
 FILE_READ = (
     r"(?i)\b(?:cat|sed|nl|bat|less|head|tail)\s+(?:-[^\s]+\s+)*"
@@ -63,8 +86,37 @@ _EDGE = (
 
 
 def ascii_edges(pattern: str) -> str:
-    """The pattern with ASCII word boundaries."""
-    return pattern.replace(r"\b", _EDGE)
+    """The pattern with ASCII word boundaries, one-sided where the next or last character
+    of the pattern settles the side."""
+    parts = pattern.split(r"\b")
+    out = parts[0]
+    for part in parts[1:]:
+        starts = part.startswith("(?:") and part[3:4].isalnum() or part[:1].isalnum()
+        if starts:
+            edge = r"(?<![A-Za-z0-9_])"
+        elif out[-1:].isalnum() and out[-2:-1] != "\\":
+            edge = r"(?![A-Za-z0-9_])"
+        else:
+            edge = _EDGE
+        out += edge + part
+    return out
+
+
+def required_literal(pattern: str) -> str:
+    """Lower-case text that every match of the pattern holds; '' if that is not plain.
+
+    Serves as a cheap test before the regular expression. Groups, classes, wildcards and
+    optional characters end a literal run.
+    """
+    body = pattern.removeprefix("(?i)").replace(r"\b", "")
+    if "|" in re.sub(r"\([^()]*\)", "", body):
+        return ""
+    body = re.sub(r"\([^()]*\)[?*+]?|\[[^\]]*\][?*+]?", "\0", body)
+    body = re.sub(r"\\?.[?*{]", "\0", body)
+    body = re.sub(r"\\([a-zA-Z])", "\0", body)
+    body = re.sub(r"\\(.)", r"\1", body)
+    runs = re.split(r"[\0*+^$()\[\]{}]", body.replace(".*", "\0"))
+    return max(runs, key=len, default="").lower()
 
 
 def redaction_marker(family: str) -> str:
@@ -85,17 +137,23 @@ def scrub_steps(text: Column) -> list[tuple[str, Column]]:
 def with_scrubbed(df, text: str, out: str = "scrubbed", counts: str = "redactions"):
     """Add the scrubbed text and an array of (family, count) for families that fired.
 
-    One projection per rule: each rule reads the column the rule before wrote, so no
-    expression nests more than one replacement.
+    Each rule reads the column the rule before settled, so no expression nests more than
+    one replacement.
     """
     current = text
     for i, (family, pattern) in enumerate(SECRET_RULES):
-        df = df.withColumn(
-            f"_n_{family}", F.regexp_count(F.col(current), F.lit(pattern)).cast("long")
+        lowered = F.lower(F.col(current))
+        hinted = lowered.contains(SECRET_HINTS[family][0])
+        for hint in SECRET_HINTS[family][1:]:
+            hinted = hinted | lowered.contains(hint)
+        found = F.regexp_count(F.col(current), F.lit(pattern)).cast("long")
+        df = settled(
+            df, {f"_n_{family}": F.when(hinted, found).otherwise(F.lit(0).cast("long"))}
         )
         step = f"_s_{i}"
-        df = df.withColumn(
-            step, F.regexp_replace(F.col(current), pattern, redaction_marker(family))
+        clean = F.regexp_replace(F.col(current), pattern, redaction_marker(family))
+        df = settled(
+            df, {step: F.when(F.col(f"_n_{family}") > 0, clean).otherwise(F.col(current))}
         )
         if current != text:
             df = df.drop(current)
@@ -208,13 +266,20 @@ def detect_vcs(text: Column) -> Column:
     return F.when(t.contains("jj "), "jj").when(t.contains("git "), "git").otherwise("unknown")
 
 
-def matching_ids(text: Column, signatures) -> Column:
-    """Sorted ids of the signatures of which at least one pattern occurs."""
+def matching_ids(text: Column, signatures, lowered: Column | None = None) -> Column:
+    """Sorted ids of the signatures of which at least one pattern occurs.
+
+    `lowered` is the lower-case text where the caller has it as a column already.
+    """
+    lowered = F.lower(text) if lowered is None else lowered
     hits = []
     for sig_id, patterns in signatures:
-        hit = text.rlike(ascii_edges(patterns[0]))
-        for pattern in patterns[1:]:
-            hit = hit | text.rlike(ascii_edges(pattern))
+        hit = None
+        for pattern in patterns:
+            literal = required_literal(pattern)
+            test = text.rlike(ascii_edges(pattern))
+            test = lowered.contains(literal) & test if literal else test
+            hit = test if hit is None else hit | test
         hits.append(F.when(hit, F.lit(sig_id)))
     return F.sort_array(F.array_compact(F.array(*hits)))
 

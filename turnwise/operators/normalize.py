@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from turnwise.functions import buckets as B
 from turnwise.functions import json_nodes as J
 from turnwise.functions import text as X
-from turnwise.operators import blocks
 
 # Sources whose lines may carry text before the JSON object.
 PREFIXED_SOURCES = ("claude_desktop", "claude_desktop_mcp", "copilot", "kiro_cli", "kiro_ide")
@@ -560,7 +559,10 @@ def matched_results(
     return others.unionByName(kept)
 
 
-def with_event_position(events: DataFrame, log: str = "log_id", **kw) -> DataFrame:
-    """Dense order of a log's events. `turn` and `seq` are packed into one number."""
-    packed = events.withColumn("_ord", F.col("turn") * F.lit(1_000_000) + F.col("seq"))
-    return blocks.dense_position(packed, log, ["_ord"], **kw).drop("_ord")
+# Room for the events of one line between two turns.
+POSITION_STEP = 1_000_000
+
+
+def with_event_position(events: DataFrame) -> DataFrame:
+    """Order of a log's events in one number, `turn` first; it has gaps of POSITION_STEP."""
+    return events.withColumn("pos", F.col("turn") * F.lit(POSITION_STEP) + F.col("seq"))

@@ -139,13 +139,23 @@ def timeline(
     ).select(log, "turn", "estimated_tokens", "tool_tokens", "rereads", "retries")
 
 
-def tool_calls(events: DataFrame, log: str = "log_id", pos: str = "pos", **kw) -> DataFrame:
+def tool_calls(
+    events: DataFrame,
+    log: str = "log_id",
+    pos: str = "pos",
+    step: int = 1,
+    rows_per_block: int = blocks.ROWS_PER_BLOCK,
+) -> DataFrame:
     """One row per tool call with `call_seq` and whether it failed.
 
+    `step` is the usual gap between two positions.
+
     An error on the call or on any event before the next call marks it failed.
     """
     is_call = F.col("kind") == "tool_call"
-    seq = blocks.running_sum(events, log, pos, {"call_seq": _one(is_call)}, **kw)
+    seq = blocks.running_sum(
+        events, log, pos, {"call_seq": _one(is_call)}, rows_per_block=rows_per_block * step
+    )
     return (
         seq.filter(F.col("call_seq") > 0)
         .groupBy(log, "call_seq")
@@ -160,9 +170,11 @@ def tool_calls(events: DataFrame, log: str = "log_id", pos: str = "pos", **kw) -
     )
 
 
-def identical_retries(events: DataFrame, log: str = "log_id", pos: str = "pos", **kw) -> DataFrame:
+def identical_retries(
+    events: DataFrame, log: str = "log_id", pos: str = "pos", step: int = 1, **kw
+) -> DataFrame:
     """Longest run of calls that repeat the failed call before them."""
-    calls = tool_calls(events, log, pos, **kw)
+    calls = tool_calls(events, log, pos, step, **kw)
     paired = blocks.with_previous(
         calls, log, "call_seq", ["tool", "args_hash", "parent_hash", "failed"], **kw
     )

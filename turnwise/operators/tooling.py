@@ -302,8 +302,9 @@ def utilization(
 def ecosystem(logs: DataFrame, log: str = "log_id", content: str = "content", categories=S.CATEGORIES):
     """Per log: environment labels and the ids of each category."""
     text = F.col(content)
-    found = {c: X.matching_ids(text, sigs) for c, sigs in categories.items()}
-    rows = settled(logs.select(log, content), found)
+    rows = settled(logs.select(log, content), {"_low": F.lower(text)})
+    found = {c: X.matching_ids(text, sigs, F.col("_low")) for c, sigs in categories.items()}
+    rows = settled(rows, found)
     return rows.select(
         log,
         *categories,

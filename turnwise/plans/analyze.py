@@ -51,7 +51,7 @@ def analyze(logs: DataFrame, only: tuple[str, ...] | None = None, cut=None) -> A
     events = cut(N.with_event_position(N.events_of(N.with_nodes(lines), only=only)))
     reads = Se.file_reads_of(turns)
     metrics = Se.session_metrics(turns, reads=reads)
-    signals = Se.session_signals(events)
+    signals = Se.session_signals(events, step=N.POSITION_STEP)
     both = Se.reconcile(metrics, signals)
     use = T.utilization(clean, turns, metrics)
     bands = use.select("log_id", "mcp_band", "skill_band")

@@ -90,10 +90,16 @@ def record_type(table: DataFrame, name: str) -> DataFrame:
 
 
 def append_partitioned(events: DataFrame, path: str, ts: str = "timestamp", fmt: str = "json") -> None:
-    """Append under date= and hour= folders."""
+    """Append under date= and hour= folders.
+
+    The rebalance hint gathers the rows of a folder into few files, and lets a folder that
+    holds most of the rows be split over tasks.
+    """
+    dated = events.withColumn("date", F.date_format(ts, "yyyy-MM-dd")).withColumn(
+        "hour", F.date_format(ts, "HH")
+    )
     (
-        events.withColumn("date", F.date_format(ts, "yyyy-MM-dd"))
-        .withColumn("hour", F.date_format(ts, "HH"))
+        dated.hint("rebalance", "date", "hour")
         .write.mode("append")
         .partitionBy("date", "hour")
         .format(fmt)
