@@ -57,6 +57,9 @@ def test_folds_equal_sequential(spark, seed):
     want = {(k, i): (v[i - 1]["id"] if i else None) for k, v in logs.items() for i in range(len(v))}
     assert {(r.log_id, r.pos): r.prev_id for r in prev.select("log_id", "pos", "prev_id").collect()} == want
 
+    before = blocks.value_before(df, ["log_id"], ["pos"], F.floor(F.col("pos") / 7), "id", "b")
+    assert {(r.log_id, r.pos): r.b for r in before.select("log_id", "pos", "b").collect()} == want
+
     depth = Se.retry_depth(df, "log_id", "pos", rows_per_block=6)
     want = {}
     for k, v in logs.items():

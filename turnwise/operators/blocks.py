@@ -60,7 +60,8 @@ def order_bins(
             width = max(1, width // 64)
 
     first, fits = cut([], scalar(order[0]))
-    if fits or len(order) == 1:
+    whole = ("tinyint", "smallint", "int", "bigint")
+    if fits or len(order) == 1 or types[order[1]] not in whole:
         return [first, F.lit(0).cast("long")]
     second, _ = cut([first], scalar(order[1]))
     return [first, second]
@@ -160,6 +161,31 @@ def with_previous(
     return spread.filter(F.col("_block") == block).drop("_block")
 
 
+def value_before(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    block: Column,
+    column: str,
+    out: str,
+) -> DataFrame:
+    """Add the column's value in the row before, within `keys`; NULL for the first row.
+
+    `block` must not decrease along `order`. The first row of a block reads the last value
+    of the block before it, so a key of any size is handled in pieces. Values must not be
+    NULL.
+    """
+    parts = df.withColumn("_block", block)
+    where = [*keys, "_block"]
+    ends = parts.groupBy(*where).agg(F.max_by(column, F.struct(*order)).alias("_end"))
+    by_block = Window.partitionBy(*keys).orderBy("_block")
+    ends = ends.withColumn("_carry", F.lag("_end").over(by_block)).drop("_end")
+    inside = Window.partitionBy(*where).orderBy(*order)
+    local = parts.withColumn("_lag", F.lag(column).over(inside))
+    joined = local.join(ends, where)
+    return joined.withColumn(out, F.coalesce("_lag", "_carry")).drop("_block", "_lag", "_carry")
+
+
 def longest_run(
     df: DataFrame,
     session: str,

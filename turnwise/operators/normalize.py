@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions import buckets as B
 from turnwise.functions import json_nodes as J
 from turnwise.functions import text as X
+from turnwise.operators import blocks
 
 # Sources whose lines may carry text before the JSON object.
 PREFIXED_SOURCES = ("claude_desktop", "claude_desktop_mcp", "copilot", "kiro_cli", "kiro_ide")
@@ -541,7 +542,8 @@ def matched_results(
     """Drop tool results whose request is not open at that point.
 
     A result counts only if the row before it with the same id is a call; that row then
-    is closed. Ids are unique per exchange, so the window groups stay small.
+    is closed. The row before is looked up block by block, so an id may repeat any number
+    of times.
     """
     keyed = (F.col("source") == "claude_desktop_mcp") & F.col("kind").isin(
         "tool_call", "tool_result"
@@ -550,9 +552,9 @@ def matched_results(
     others = events.filter(
         ~keyed | ((F.col(request) == "") & (F.col("kind") == "tool_call"))
     )
-    order = Window.partitionBy(log, request).orderBy("turn", "seq")
+    block = F.floor(F.col("turn") / blocks.ROWS_PER_BLOCK)
     kept = (
-        stateful.withColumn("_before", F.lag("kind").over(order))
+        blocks.value_before(stateful, [log, request], ["turn", "seq"], block, "kind", "_before")
         .filter((F.col("kind") == "tool_call") | (F.col("_before") == "tool_call"))
         .drop("_before")
     )
