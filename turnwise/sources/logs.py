@@ -91,13 +91,12 @@ def read_logs(
 ) -> DataFrame:
     """Every file under the roots as one row (S03). Sizes are checked before reading.
 
-    One row per file keeps the line order; files above `max_bytes` are not read.
+    One row per file keeps the line order; files above `max_bytes` are not read. Spark's
+    listing skips folders whose name starts with a dot, so name such a folder as a root.
     """
     roots = [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    df = reader.text(roots).select(
+    files = spark.read.text(roots, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    df = files.select(
         F.col("value").alias("content"),
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_modification_time").alias("mod_time"),
