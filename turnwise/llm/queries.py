@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import packing, pieces, repetition
+from turnwise.llm import covering, packing, pieces, repetition
 from turnwise.llm.common import documents
 
 QUERIES: dict = {}
@@ -82,3 +82,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = packing.file_tokenizer(public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return packing.pack(documents(spark, sf_dir), tokenizer, keep_ids=False)
+
+
+@query("op10_simhash_covering")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covering.near_duplicates(documents(spark, sf_dir))
