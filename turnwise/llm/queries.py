@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turnwise.llm import covering, packing, pieces, repetition
-from turnwise.llm.common import documents
+from turnwise.llm import covering, packing, pieces, repetition, toxicity
+from turnwise.llm.common import documents, fold
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -22,6 +23,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_toxicity_compression")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels.filter(fold("doc_id") != 0))
+    return toxicity.score(docs, model).withColumn("held_out", fold("doc_id") == 0)
+
+
 @query("op3_sentencepiece")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
