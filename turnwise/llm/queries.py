@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import covering, packing, pieces, repetition, suffix_sort, toxicity
+from turnwise.llm import automaton, covering, packing, pieces, repetition, suffix_sort, toxicity
 from turnwise.llm.common import documents, fold
 
 QUERIES: dict = {}
@@ -92,6 +92,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer, keep_ids=False)
 
 
+@query("op7_suffix_automata")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.deduplicate(documents(spark, sf_dir), digests=True)
+
+
 @query("op9_suffix_merge_sort")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sort.deduplicate(documents(spark, sf_dir), digests=True)
