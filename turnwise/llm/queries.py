@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import automaton, covering, packing, pieces, repetition, suffix_sort, toxicity
+from turnwise.llm import automaton, bloom_lm, covering, packing, pieces, repetition, suffix_sort, toxicity
 from turnwise.llm.common import documents, fold
 
 QUERIES: dict = {}
@@ -30,6 +30,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", fold("doc_id") == 0)
 
 
+@query("op2_bloom_language_model")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return bloom_lm.score(docs, fold("doc_id") != 1).withColumn("held_out", fold("doc_id") == 1)
+
+
 @query("op3_sentencepiece")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
