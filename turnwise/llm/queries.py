@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
-from turnwise.llm import automaton, bloom_lm, covering, packing, pieces, repetition, suffix_sort, toxicity
+from turnwise.llm import automaton, bloom_lm, covering, hilbert, packing, pieces, repetition, suffix_sort, toxicity
 from turnwise.llm.common import documents, fold
 
 QUERIES: dict = {}
@@ -103,6 +104,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.deduplicate(documents(spark, sf_dir), digests=True)
 
 
+@query("op8_hilbert_neighbours")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 @query("op9_suffix_merge_sort")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sort.deduplicate(documents(spark, sf_dir), digests=True)
