@@ -270,10 +270,31 @@ def deduplicate(df: DataFrame, length: int = 50, core: int = 16, id_col: str = "
     whole. Ids are integers; rows with equal ids do not remove from each other, rows with a null
     id neither remove nor lose; an empty table gives none; other columns are ignored.
     """
-    rows = df.select(F.col(id_col), F.col(text_col), F.xxhash64(id_col, text_col).alias("key"))
-    spans = earlier_spans(rows.select(F.col(id_col).alias("id"), "key", F.col(text_col).alias("text")), length, core)
-    lists = cut_lineage(spans).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return _cut(rows.join(lists, "key", "left"), id_col, text_col, digests)
+    return _cut(_with_spans(df.select(id_col, text_col), length, core, id_col, text_col), id_col, text_col, digests)
+
+
+def _with_spans(df: DataFrame, length: int, core: int, id_col: str, text_col: str) -> DataFrame:
+    """`df` with the column `spans`, null where nothing goes."""
+    key = F.xxhash64(id_col, text_col)
+    rows = df.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text"))
+    lists = cut_lineage(earlier_spans(rows, length, core)).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return df.withColumn("__key", key).join(lists.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+
+
+def without_passages(df: DataFrame, length: int = 50, core: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns of `df`, the text without the words that `deduplicate` removes."""
+    fields = df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            for i, spans in enumerate(batch.column("spans").to_pylist()):
+                if spans:
+                    texts[i] = b" ".join(kept_words(words(texts[i]), [(s["start"], s["stop"]) for s in spans])).decode()
+            cols = {c: batch.column(c) for c in fields.names} | {text_col: pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+    return _with_spans(df, length, core, id_col, text_col).mapInArrow(run, fields)
 
 
 def against(df: DataFrame, reference: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", most_words: int = 2_000_000, shard_words: int = 100_000) -> DataFrame:

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.llm.anchors import STEP, mixed
 from turnwise.llm.common import text_chunks
 from turnwise.session import cut_lineage
 
@@ -125,8 +126,8 @@ def visits(x: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(anchors), np.concatenate(owner)
 
 
-def fingerprints(texts: list[str | None], shingle: int, seed: int = 42) -> np.ndarray:
-    """Majority of the bits of the XXH64 of all word shingles, as unsigned 64-bit numbers."""
+def shingle_hashes(texts: list[str | None], shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of all word shingles of all texts (all words of a short one), and their number per text."""
     hashes, counts = [], []
     digest = xxhash.xxh64_intdigest
     for text in texts:
@@ -140,14 +141,17 @@ def fingerprints(texts: list[str | None], shingle: int, seed: int = 42) -> np.nd
             found = [digest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
         hashes.append(np.array(found, np.uint64))
         counts.append(len(found))
-    counts = np.array(counts, np.int64)
-    h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-    votes = np.zeros((len(texts), 64), np.int64)
+    return np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.array(counts, np.int64)
+
+
+def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each text the bits that over half of its hashes have."""
+    votes = np.zeros((len(counts), 64), np.int64)
     if len(h):
         # bytes of zeros and ones, added eight at a time as 64-bit words, 255 rows at most
         lanes = np.unpackbits(h.astype("<u8").view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
         pieces = -(-counts // 255)
-        doc = np.repeat(np.arange(len(texts)), pieces)
+        doc = np.repeat(np.arange(len(counts)), pieces)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         starts = np.repeat(np.cumsum(counts) - counts, pieces) + nth * 255
         sums = np.add.reduceat(lanes, starts, axis=0).view(np.uint8).reshape(-1, 64)
@@ -156,6 +160,11 @@ def fingerprints(texts: list[str | None], shingle: int, seed: int = 42) -> np.nd
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
+def fingerprints(texts: list[str | None], shingle: int, seed: int = 42) -> np.ndarray:
+    """Majority of the bits of the XXH64 of all word shingles, as unsigned 64-bit numbers."""
+    return majority(*shingle_hashes(texts, shingle, seed))
+
+
 def with_fingerprint(df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,3 +242,123 @@ def near_duplicates(
     labels = nodes.join(roots, nodes["first_id"] == roots["node"], "left")
     labels = labels.select("fp", F.coalesce("root", "first_id").alias("component_id"))
     return prints.join(labels, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+LONG_WORDS = 4
+LONG_BLOCKS = 64 * LONG_WORDS // 23
+
+
+def long_fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
+    """(n, 4): 256 bits from four mixings of each shingle's hash."""
+    h, counts = shingle_hashes(texts, shingle)
+    return np.stack([majority(mixed(h + np.uint64((i + 1) * int(STEP) % (1 << 64))), counts) for i in range(LONG_WORDS)], 1)
+
+
+@cache
+def _golay_moves() -> tuple[Block, list[np.ndarray]]:
+    block = Block(0, 23, 3, _golay_syndromes())
+    return block, block.moves(1)
+
+
+def long_cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, row, at home) of all anchors that are home to a block of 23 bits, one of them turned or none."""
+    block, moves = _golay_moves()
+    cells, rows, home = [], [], []
+    for b in range(LONG_BLOCKS):
+        word, shift = divmod(23 * b, 64)
+        x = fp[:, word] >> np.uint64(shift)
+        if shift > 41:
+            x = x | fp[:, word + 1] << np.uint64(64 - shift)
+        x = x & np.uint64((1 << 23) - 1)
+        s = block.syndromes(x)
+        for w, table in enumerate(moves):
+            d = table[s]
+            ok = d >= 0
+            cells.append(((x.astype(np.int64)[:, None] ^ d) | b << 23)[ok])
+            rows.append(np.broadcast_to(np.arange(len(x))[:, None], d.shape)[ok])
+            home.append(np.full(len(rows[-1]), w == 0))
+    return np.concatenate(cells), np.concatenate(rows), np.concatenate(home)
+
+
+def most_bits_apart(similarity: float) -> int:
+    """Bits of 256 that differ at a Jaccard similarity of texts of like length, and one standard error."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = 64 * LONG_WORDS
+    return int(n * p + np.sqrt(n * p * (1 - p)))
+
+
+def _local_roots(fp: np.ndarray, home: np.ndarray, cut: int) -> np.ndarray:
+    """Smallest index in the group of each row, where rows at home link to all rows at most `cut` bits away."""
+    root = np.arange(len(fp))
+    for some in np.array_split(home, -(-len(home) * len(fp) // 4_000_000)):
+        apart = sum(np.bitwise_count(fp[some, i][:, None] ^ fp[None, :, i]).astype(np.int16) for i in range(fp.shape[1]))
+        i, j = np.nonzero(apart <= cut)
+        i = some[i]
+        own = i != j
+        i, j = i[own], j[own]
+        before = None
+        while len(i) and (before is None or (root != before).any()):
+            before = root.copy()
+            low = np.minimum(root[i], root[j])
+            for ends in (i, j, before[i], before[j]):
+                np.minimum.at(root, ends, low)
+            root = root[root]
+    return root
+
+
+def distinct(df: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of `df` that are first (by id) in their group of near copies; all columns as they are.
+
+    Texts are near copies from a Jaccard similarity of about `similarity` of their word shingles on,
+    groups are what chains of near copies connect. Two bits of 64 tell only texts
+    that are nearly equal, so here a fingerprint has 256 bits and its eleven blocks of
+    23 have the Golay code's words as anchors; a text visits the anchors that are home to a block
+    with at most one bit turned, and meets there the texts at home. Pairs at an anchor that
+    differ in no more bits than expected are linked; an anchor gives at most one link for each text
+    that visits it. Copies count once. Null and empty texts form one group. Ids are integers; of rows with
+    one id one stays, rows with a null id go; an empty table gives none.
+    """
+    cut = most_bits_apart(similarity)
+    words = [f"f{i}" for i in range(LONG_WORDS)]
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in text_chunks(batch, text_col, 2 << 20):
+                fp = long_fingerprints(texts, shingle).view(np.int64)
+                yield pa.RecordBatch.from_arrays([rows.column("id"), *(pa.array(fp[:, i].copy()) for i in range(LONG_WORDS))], ["id", *words])
+
+    fields = ", ".join(f"{w} bigint" for w in words)
+    rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col)
+    nodes = cut_lineage(rows.mapInArrow(prints, f"id bigint, {fields}").groupBy(*words).agg(F.min("id").alias("id")))
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                fp = np.stack([part.column(w).to_numpy(zero_copy_only=False).view(np.uint64) for w in words], 1)
+                cell, row, home = long_cells(fp)
+                rest = part.select(["id", *words]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(home), *rest.columns], ["cell", "home", "id", *words])
+
+    def linked(table: pa.Table) -> pa.Table:
+        cell = table.column("cell").to_numpy()
+        order = np.argsort(cell, kind="stable")
+        ids, at_home = table.column("id").to_numpy()[order], table.column("home").to_numpy()[order]
+        fp = np.stack([table.column(w).to_numpy().view(np.uint64) for w in words], 1)[order]
+        edges = np.flatnonzero(np.r_[True, cell[order][1:] != cell[order][:-1], True])
+        some = np.flatnonzero((np.diff(edges) > 1) & np.logical_or.reduceat(at_home, edges[:-1]))
+        a, b = [], []
+        for start, stop in zip(edges[some].tolist(), edges[some + 1].tolist(), strict=True):
+            root = _local_roots(fp[start:stop], np.flatnonzero(at_home[start:stop]), cut)
+            mine = np.flatnonzero(root != np.arange(stop - start))
+            a.append(ids[start:stop][mine])
+            b.append(ids[start:stop][root[mine]])
+        return pa.table({n: np.concatenate([np.zeros(0, np.int64), *x]) for n, x in (("a", a), ("b", b))})
+
+    buckets = max(32, nodes.count() // 1000)
+    met = nodes.mapInArrow(sent, f"cell bigint, home boolean, id bigint, {fields}")
+    met = met.withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(buckets))).groupBy("bucket").applyInArrow(linked, "a bigint, b bigint")
+    roots = components(met)
+    later = roots.filter("root <> node").select(F.col("node").alias("id"))
+    first = nodes.select("id").join(later, "id", "left_anti").withColumnRenamed("id", "__first")
+    return df.join(first, F.col(id_col) == F.col("__first"), "left_semi").dropDuplicates([id_col])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from turnwise.llm import automaton, bloom_lm, covering, hilbert, packing, pieces, repetition, suffix_sort, toxicity
+from turnwise.llm import automaton, bloom_lm, covering, hilbert, licenses, packing, pieces, repetition, suffix_sort, toxicity
 from turnwise.llm.common import documents, fold
 
 QUERIES: dict = {}
@@ -42,6 +42,86 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
 
+OP4_SQL = r"""
+WITH templates(template, license, text) AS (VALUES
+  (0, 'Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
+  (1, 'Apache-2.0', 'Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.'),
+  (2, 'MIT', 'Released under the MIT License.'),
+  (3, 'MIT', 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction'),
+  (4, 'GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
+  (5, 'GPL-3.0', 'you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.'),
+  (6, 'GPL-2.0', 'This work is licensed under the GNU General Public License, version 2.'),
+  (7, 'LGPL-3.0', 'This work is licensed under the GNU Lesser General Public License, version 3.'),
+  (8, 'AGPL-3.0', 'This work is licensed under the GNU Affero General Public License, version 3.'),
+  (9, 'BSD-3-Clause', 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met'),
+  (10, 'MPL-2.0', 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.'),
+  (11, 'CC-BY-4.0', 'Licensed under CC BY 4.0.'),
+  (12, 'CC-BY-4.0', 'This work is licensed under a Creative Commons Attribution 4.0 International License.'),
+  (13, 'CC-BY-SA-4.0', 'Licensed under CC BY-SA 4.0.'),
+  (14, 'CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
+  (15, 'CC-BY-NC-4.0', 'This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.'),
+  (16, 'CC0-1.0', 'To the extent possible under law, the author has waived all copyright and related rights to this work (CC0 1.0).'),
+  (17, 'Unlicense', 'This is free and unencumbered software released into the public domain.')
+), files AS (
+  SELECT page_id, coalesce(regexp_extract(url, '^(?i:https?://)?([^?#]*)', 1), '') AS path,
+         regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->', chr(10), 'g'), '<[^>]*>', chr(10), 'g') AS body
+  FROM pages
+), found AS (
+  SELECT page_id, path, trim(line) AS line
+  FROM (SELECT page_id, path, unnest(string_split(body, chr(10))) AS line FROM files)
+  WHERE regexp_matches(line, '(?i)licen[cs]e|copyright|spdx|redistribut|permission|public domain|public license|creative commons')
+), counted AS (
+  SELECT line, count(*) AS n FROM found GROUP BY line
+), tf AS (
+  SELECT line, n, term, count(*) AS tf
+  FROM (SELECT line, n, unnest(regexp_split_to_array(lower(line), '[^a-z0-9]+')) AS term FROM counted)
+  WHERE term <> '' GROUP BY line, n, term
+), ttf AS (
+  SELECT template, license, term, count(*) AS tf
+  FROM (SELECT template, license, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM templates)
+  WHERE term <> '' GROUP BY template, license, term
+), idf AS (
+  SELECT term, ln((1 + (SELECT coalesce(sum(n), 0) FROM counted)) / (1 + coalesce(df, 0))) + 1 AS idf
+  FROM (SELECT term, sum(n) AS df FROM tf GROUP BY term) FULL JOIN (SELECT DISTINCT term FROM ttf) USING (term)
+), a AS (
+  SELECT line, term, tf * idf AS w, sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY line)) AS norm FROM tf JOIN idf USING (term)
+), b AS (
+  SELECT template, license, term, tf * idf AS w, sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY template)) AS norm FROM ttf JOIN idf USING (term)
+), cosines AS (
+  SELECT line, license, round(sum(a.w * b.w) / min(a.norm) / min(b.norm), 6) AS score
+  FROM a JOIN b USING (term) GROUP BY line, template, license
+), best AS (
+  SELECT line, license, score FROM cosines
+  QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, license) = 1
+), own AS (
+  SELECT page_id, path, license AS own_license, score AS own_score
+  FROM found JOIN best USING (line) WHERE score >= 0.6
+  QUALIFY row_number() OVER (PARTITION BY page_id, path ORDER BY score DESC, license) = 1
+), folders AS (
+  SELECT regexp_replace(path, '/[^/]*$', '') AS directory, own_license AS folder_license FROM own
+  WHERE path LIKE '%/' OR regexp_matches(path, '(?i)(^|/)(un)?licen[cs]e([.-][^/]*)?$|(^|/)(copying|notice)([.-][^/]*)?$')
+  QUALIFY row_number() OVER (PARTITION BY directory ORDER BY own_score DESC, own_license) = 1
+), near AS (
+  SELECT page_id, path, directory, folder_license
+  FROM (SELECT page_id, path, depth, array_to_string(string_split(path, '/')[1:depth], '/') AS directory
+        FROM (SELECT page_id, path, unnest(range(1, len(string_split(path, '/')))) AS depth FROM files))
+  JOIN folders USING (directory)
+  QUALIFY row_number() OVER (PARTITION BY page_id, path ORDER BY depth DESC) = 1
+)
+SELECT page_id, path, own_license, own_score, CASE WHEN own_license IS NULL THEN directory END AS directory,
+       coalesce(own_license, folder_license) AS license
+FROM files LEFT JOIN own USING (page_id, path) LEFT JOIN near USING (page_id, path)
+"""
+
+
+@query("op4_license_scan", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    path = licenses.url_path(F.col("url"))
+    speaks = path.endswith("/") | path.rlike(licenses.LICENSE_FILE)
+    return licenses.scan(pages, licenses.html_lines(F.col("html")), path, speaks, id_col="page_id")
+
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents

@@ -112,16 +112,32 @@ def quality(df: DataFrame, limits: RepeatLimits = RepeatLimits(), id_col: str =
         for batch in batches:
             for rows, texts in text_chunks(batch, text_col, 3 << 20):
                 got = measure(texts, limits.min_words)
-                n = got["n_words"]
-                failed = (n < 50) | (100 * got["n_repeat_words"] > 50 * n)
-                kept = ~failed & (100 * got["covered_words"] <= limits.covered_percent * n)
-                kept &= got["longest_repeat"] <= limits.longest_words
+                failed, kept = verdict(got, limits)
                 cols = [pa.array(got[c], pa.int64()) for c in COLUMNS]
                 yield pa.RecordBatch.from_arrays([rows.column(id_col), *cols, pa.array(failed), pa.array(kept)], names)
 
     return df.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
 
 
+def keep(df: DataFrame, limits: RepeatLimits = RepeatLimits(), text_col: str = "text") -> DataFrame:
+    """The rows of `df`, all columns as they are, that `quality` keeps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in text_chunks(batch, text_col, 3 << 20):
+                yield rows.filter(pa.array(verdict(measure(texts, limits.min_words), limits)[1]))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def verdict(got: dict[str, np.ndarray], limits: RepeatLimits) -> tuple[np.ndarray, np.ndarray]:
+    """(failed the base rule, kept) for each text."""
+    n = got["n_words"]
+    failed = (n < 50) | (100 * got["n_repeat_words"] > 50 * n)
+    few = 100 * got["covered_words"] <= limits.covered_percent * n
+    return failed, ~failed & few & (got["longest_repeat"] <= limits.longest_words)
+
+
 def measure(texts: list[str | None], min_words: int) -> dict[str, np.ndarray]:
     lists = [words(t) for t in texts]
     sizes = np.array([len(x) for x in lists], np.int64)

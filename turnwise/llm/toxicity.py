@@ -217,3 +217,14 @@ def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col:
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+
+
+def clean(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """The rows of `df`, all columns as they are, whose texts the model does not predict toxic."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in text_chunks(batch, text_col):
+                yield rows.filter(pa.array(model.scores(texts) < 0.5))
+
+    return df.mapInArrow(run, df.schema)
