@@ -240,14 +240,14 @@ def kept_words(ws: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
 
 
 def _cut(joined: DataFrame, id_col: str, text_col: str, digests: bool) -> DataFrame:
-    """Rows (id, text, spans) to id, n_words, n_removed and the kept words."""
+    """Rows (id, text, __spans) to id, n_words, n_removed and the kept words."""
     last = "kept_sha256" if digests else "kept"
     names = [id_col, "n_words", "n_removed", last]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data: list[list] = [[], [], []]
-            for text, spans in zip(batch.column(text_col).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column(text_col).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
                 ws = words(text)
                 kept = kept_words(ws, [(s["start"], s["stop"]) for s in spans or ()])
                 line = b" ".join(kept)
@@ -258,7 +258,7 @@ def _cut(joined: DataFrame, id_col: str, text_col: str, digests: bool) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *cols], names)
 
     kind = joined.schema[id_col].dataType.simpleString()
-    return joined.select(id_col, text_col, "spans").mapInArrow(run, f"`{id_col}` {kind}, n_words bigint, n_removed bigint, {last} string")
+    return joined.select(id_col, text_col, "__spans").mapInArrow(run, f"`{id_col}` {kind}, n_words bigint, n_removed bigint, {last} string")
 
 
 def deduplicate(df: DataFrame, length: int = 50, core: int = 16, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -274,10 +274,10 @@ def deduplicate(df: DataFrame, length: int = 50, core: int = 16, id_col: str = "
 
 
 def _with_spans(df: DataFrame, length: int, core: int, id_col: str, text_col: str) -> DataFrame:
-    """`df` with the column `spans`, null where nothing goes."""
+    """`df` with the column `__spans`, null where nothing goes."""
     key = F.xxhash64(id_col, text_col)
     rows = df.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text"))
-    lists = cut_lineage(earlier_spans(rows, length, core)).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    lists = cut_lineage(earlier_spans(rows, length, core)).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
     return df.withColumn("__key", key).join(lists.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
 
 
@@ -288,7 +288,7 @@ def without_passages(df: DataFrame, length: int = 50, core: int = 16, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
+            for i, spans in enumerate(batch.column("__spans").to_pylist()):
                 if spans:
                     texts[i] = b" ".join(kept_words(words(texts[i]), [(s["start"], s["stop"]) for s in spans])).decode()
             cols = {c: batch.column(c) for c in fields.names} | {text_col: pa.array(texts, pa.string())}
@@ -331,8 +331,8 @@ def against(df: DataFrame, reference: DataFrame, length: int = 50, id_col: str =
                 runs = [r for a in automata for r in _runs([m is not None for m in a.matches(ws, length)])]
                 spans.append([{"start": x, "stop": y + length} for x, y in runs])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(text_col), pa.array(spans, kind)], [id_col, text_col, "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(text_col), pa.array(spans, kind)], [id_col, text_col, "__spans"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    found = df.select(id_col, text_col).mapInArrow(stream, f"`{id_col}` {kind}, `{text_col}` string, spans array<struct<start:bigint,stop:bigint>>")
+    found = df.select(id_col, text_col).mapInArrow(stream, f"`{id_col}` {kind}, `{text_col}` string, __spans array<struct<start:bigint,stop:bigint>>")
     return _cut(found, id_col, text_col, digests=False)
