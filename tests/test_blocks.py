@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnwise.operators import blocks
@@ -99,6 +100,30 @@ def test_folds_equal_sequential(spark, seed):
 def test_bins_stay_bounded_on_a_hot_session(spark):
     data = [(0, 7, i) for i in range(500)] + [(1, i, i) for i in range(20)]
     df = spark.createDataFrame(data, "log_id int, ts long, id long")
-    b1, b2 = blocks.order_bins(df, "log_id", ["ts", "id"], max_rows=50)
-    sizes = df.groupBy("log_id", b1.alias("a"), b2.alias("b")).count()
+    sizes = blocks.binned(df, "log_id", ["ts", "id"], max_rows=50).groupBy("log_id", "_b1", "_b2").count()
     assert sizes.agg(F.max("count")).first()[0] <= 50
+
+
+KINDS = {
+    "long": "v", "double": "v / 1000.0", "narrow": "CAST(v AS DOUBLE) / 1e6", "decimal": "CAST(v AS DECIMAL(20, 2)) / 3",
+    "date": "date_add(DATE'2020-01-01', CAST(v AS INT))", "timestamp": "timestamp_micros(v * 1000)",
+    "string": "lpad(hex(v * 7919 % 10007), 6, '0')", "path": "concat('/a/very/long/prefix/', v)", "bytes": "encode(hex(v), 'UTF-8')",
+    "struct": "named_struct('a', v, 'b', id)", "flag": "v % 2 = 0", "odd": "CASE WHEN v % 5 = 0 THEN NULL WHEN v % 7 = 0 THEN double('NaN') WHEN v % 11 = 0 THEN double('Infinity') ELSE v / 3 END",
+}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_positions_for_any_order_type(spark, kind):
+    rng = random.Random(kind)
+    data = [(None if i % 50 == 0 else i % 3 % 2, rng.choice([7, 7, rng.randrange(400)]), i) for i in range(400)]
+    df = spark.createDataFrame(data, "log_id int, v long, id long").withColumn("o", F.expr(KINDS[kind]))
+    plain = F.row_number().over(Window.partitionBy("log_id").orderBy("o", "id")) - 1
+    got = blocks.dense_position(df.withColumn("want", plain), "log_id", ["o", "id"], max_rows=20)
+    assert got.count() == 400 and got.filter("pos <> want").count() == 0
+
+
+def test_building_a_plan_starts_no_job(spark):
+    df = spark.range(1000).selectExpr("id % 2 AS log_id", "id AS ts", "id")
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    blocks.dense_position(df, "log_id", ["ts", "id"])
+    assert set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before

@@ -12,59 +12,81 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.types import DataType
 
 ROWS_PER_BLOCK = 65_536
-MAX_ROWS_PER_BIN = 1_000_000
+ROWS_PER_BIN = 250_000
 
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def _largest(df: DataFrame, keys: Sequence[Column]) -> int:
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
+def along(name: str, kind: DataType) -> Column:
+    """A double that does not decrease along the order of a column of any orderable type; NULL for NULL.
 
+    Texts and binaries count by their first six bytes, structs by their first field.
+    """
+    value = F.col(name)
+    while isinstance(kind, T.StructType):
+        value, kind = value.getField(kind[0].name), kind[0].dataType
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType):
+        return micros(value).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("double")
+    if isinstance(kind, T.BooleanType):
+        return value.cast("int").cast("double")
+    if isinstance(kind, T.StringType | T.BinaryType | T.VarcharType | T.CharType):
+        head = F.rpad(F.hex(F.substring(value.cast("binary"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    if isinstance(kind, T.NumericType):
+        return value.cast("double")
+    return F.lit(None).cast("double")  # other types are not cut
+
+
+def _bin(value: Column, low: Column, high: Column, bins: Column) -> Column:
+    """Bins of equal width between two finite values; NULL first, NaN and infinity last."""
+    at = F.floor((value - low) / F.nullif(high - low, F.lit(0.0)) * bins).cast("double")
+    at = F.when(F.isnan(value) | (value == float("inf")), bins + 1).otherwise(F.least(F.coalesce(at, F.lit(0.0)), bins))
+    return F.when(value.isNull() | (value == float("-inf")), -1.0).otherwise(at)
 
-def order_bins(
+
+def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, max_rows: int) -> DataFrame:
+    """Add a bin for each row: groups of `keys` above `max_rows` are cut along the first order column.
+
+    Where all rows of a group tie on it, along the second one.
+    """
+    values = [along(name, df.schema[name].dataType) for name in order[:2]]
+    own = [f"_k{i}" for i in range(len(keys))]
+    stats = [F.count(F.lit(1)).alias("_size"), ((F.min(order[0]) == F.max(order[0])) & (F.count(order[0]) == F.count(F.lit(1)))).alias("_tied")]
+    for i, v in enumerate(values):
+        finite = F.when(F.abs(v) < float("inf"), v)
+        stats += [F.min(finite).alias(f"_low{i}"), F.max(finite).alias(f"_high{i}")]
+    groups = df.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own)]).agg(*stats)
+    # Twice as many as an even spread needs.
+    bins = F.ceil(F.col("_size") * 2 / max_rows).cast("double")
+    cuts = [_bin(v, F.col(f"_low{i}"), F.col(f"_high{i}"), bins) for i, v in enumerate(values)]
+    at = F.when(F.coalesce("_tied", F.lit(False)), cuts[1] if len(cuts) > 1 else F.lit(0.0)).otherwise(cuts[0])
+    at = F.when(F.col("_size") > max_rows, at).otherwise(0.0).cast("long")
+    joined = df.join(groups, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own)])
+    return joined.withColumn(out, at).drop("_size", "_tied", *own, *[f"_{e}{i}" for e in ("low", "high") for i in range(len(values))])
+
+
+def binned(
     df: DataFrame,
     session: str,
     order: Sequence[str],
-    max_rows: int = MAX_ROWS_PER_BIN,
-) -> list[Column]:
-    """Columns that cut every session into runs of at most about `max_rows` rows.
-
-    The first order column may be a timestamp or a whole number, a second one (the
-    tie-breaker) a whole number. Bins get finer until the largest fits; rows that
-    share the first value are then cut on the second. Costs one count per step; the
-    usual case, where every session fits, is one count.
+    max_rows: int = ROWS_PER_BIN,
+) -> DataFrame:
+    """Add `_b1` and `_b2`, which cut every session into runs along `order`.
+
+    Sessions above `max_rows` rows are cut along the first order column, bins that are still
+    above it once more, or along the second column where the first ties. Columns may
+    have any orderable type. No job runs here.
     """
-    no_bins = [F.lit(0).cast("long"), F.lit(0).cast("long")]
-    if _largest(df, [F.col(session)]) <= max_rows:
-        return no_bins
-    types = dict(df.dtypes)
-
-    def scalar(name: str) -> Column:
-        col = F.col(name)
-        return micros(col) if types[name].startswith("timestamp") else col.cast("long")
-
-    def cut(prefix: list[Column], value: Column) -> tuple[Column, bool]:
-        low, high = df.agg(F.min(value), F.max(value)).first()
-        width = max(1, (high - low + 1) // 64)
-        while True:
-            bin_col = F.floor((value - F.lit(low)) / F.lit(width)).cast("long")
-            if _largest(df, [F.col(session), *prefix, bin_col]) <= max_rows:
-                return bin_col, True
-            if width == 1:
-                return value, False
-            width = max(1, width // 64)
-
-    first, fits = cut([], scalar(order[0]))
-    whole = ("tinyint", "smallint", "int", "bigint")
-    if fits or len(order) == 1 or types[order[1]] not in whole:
-        return [first, F.lit(0).cast("long")]
-    second, _ = cut([first], scalar(order[1]))
-    return [first, second]
+    once = _cut(df, [session], order, "_b1", max_rows)
+    return _cut(once, [session, "_b1"], order, "_b2", max_rows)
 
 
 def dense_position(
@@ -72,27 +94,22 @@ def dense_position(
     session: str,
     order: Sequence[str],
     out: str = "pos",
-    max_rows: int = MAX_ROWS_PER_BIN,
+    max_rows: int = ROWS_PER_BIN,
 ) -> DataFrame:
     """Number the rows of each session 0, 1, 2, … in `order`."""
-    bins = order_bins(df, session, order, max_rows)
-    binned = df.withColumn("_b1", bins[0]).withColumn("_b2", bins[1])
+    rows = binned(df, session, order, max_rows)
     key = [session, "_b1", "_b2"]
-    before = Window.partitionBy(session).orderBy("_b1", "_b2").rowsBetween(
+    before = Window.partitionBy("_k0").orderBy("_k1", "_k2").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = (
-        binned.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_skip", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
+    offsets = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = offsets.withColumn("_skip", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy(*key).orderBy(*order)
     return (
-        binned.withColumn("_rn", F.row_number().over(inside) - F.lit(1))
-        .join(offsets, key)
+        rows.withColumn("_rn", F.row_number().over(inside) - F.lit(1))
+        .join(offsets, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)])
         .withColumn(out, (F.col("_rn") + F.col("_skip")).cast("long"))
-        .drop("_b1", "_b2", "_rn", "_skip")
+        .drop("_b1", "_b2", "_rn", "_skip", "_k0", "_k1", "_k2")
     )
 
 
