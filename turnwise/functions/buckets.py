@@ -101,11 +101,20 @@ def savings_bucket(high: Column) -> Column:
     return F.when(high < 10, "low").when(high < 30, "medium").otherwise("high")
 
 
+def _wide(value) -> Column:
+    value = value if isinstance(value, Column) else F.lit(value)
+    return value.cast("decimal(19,0)")
+
+
+def scaled(value: Column, times, over) -> Column:
+    """value * times / over in whole numbers, cut towards zero; products of two BIGINTs fit. NULL over zero."""
+    return F.call_function("div", _wide(value) * _wide(times), F.nullif(_wide(over), F.lit(0)))
+
+
 def rounded_percent(part: Column, total: Column) -> Column:
-    whole = F.floor((part * 100 + F.floor(total / 2)) / total)
-    return F.when(
-        (total <= 0) | (part <= 0), F.lit(0)
-    ).otherwise(clamp(whole, 0, 100)).cast("long")
+    half = F.call_function("div", total.cast("long"), F.lit(2).cast("long"))
+    whole = F.call_function("div", _wide(part) * _wide(100) + half, F.nullif(_wide(total), F.lit(0)))
+    return F.when((total <= 0) | (part <= 0), F.lit(0)).otherwise(clamp(whole, 0, 100)).cast("long")
 
 
 def clamp(value: Column, low, high) -> Column:

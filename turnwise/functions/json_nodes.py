@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -23,7 +24,6 @@ NODE = T.StructType(
 )
 NODES = T.ArrayType(NODE)
 
-MAX_FLAT_STRING = 4096
 FAILURE_WORDS = ("error", "failed", "failure")
 
 
@@ -31,6 +31,19 @@ def _reject(token):
     raise ValueError(token)
 
 
+def _number(value: int | float) -> str:
+    """Shortest form of a double: 1.0 and 1 are both `1`; exponents only below 1e-6 and from 1e21 on."""
+    value = float(value)
+    if value != value or value in (float("inf"), float("-inf")):
+        return json.dumps(value)
+    if value == 0 or 1e-6 <= abs(value) < 1e21:
+        text = format(Decimal(repr(value)), "f")
+        return text.rstrip("0").rstrip(".") if "." in text else text
+    mantissa, exponent = repr(value).split("e")
+    mantissa = mantissa.removesuffix(".0")
+    return f"{mantissa}e{exponent[0]}{exponent[1:].lstrip('0')}"
+
+
 def _walk(value, path, parent, key, depth, out):
     at = len(out)
     out.append(None)
@@ -48,8 +61,9 @@ def _walk(value, path, parent, key, depth, out):
         kind, text = "string", value
         size = len(value.encode("utf-8", "surrogatepass"))
     else:
-        text = json.dumps(value)
-        kind = "null" if value is None else "bool" if isinstance(value, bool) else "number"
+        plain = value is None or isinstance(value, bool)
+        text = json.dumps(value) if plain else _number(value)
+        kind = "null" if value is None else "bool" if plain else "number"
         size = len(text)
     out[at] = (path, parent, key, depth, kind, text, size)
     return size
@@ -269,17 +283,18 @@ def type_contains(doc: Doc, needle: str) -> Column:
     return F.size(found) > 0
 
 
-def flat_text(nodes: Column) -> Column:
-    """All strings in order, each at most 4096 bytes, joined by blanks."""
+def flat_text(nodes: Column, max_bytes: int | None = None) -> Column:
+    """All strings in order, joined by blanks; with `max_bytes`, longer ones are cut and marked."""
 
     def cut(n):
         short = F.concat(
-            F.decode(F.substring(F.encode(n["text"], "UTF-8"), 1, MAX_FLAT_STRING), "UTF-8"),
+            F.decode(F.substring(F.encode(n["text"], "UTF-8"), 1, max_bytes), "UTF-8"),
             F.lit(" [truncated]"),
         )
-        return F.when(F.octet_length(n["text"]) > MAX_FLAT_STRING, short).otherwise(n["text"])
+        return F.when(F.octet_length(n["text"]) > max_bytes, short).otherwise(n["text"])
 
-    return F.array_join(F.transform(F.filter(nodes, lambda n: n["kind"] == "string"), cut), " ")
+    strings = F.filter(nodes, lambda n: n["kind"] == "string")
+    return F.array_join(F.transform(strings, (lambda n: n["text"]) if max_bytes is None else cut), " ")
 
 
 def has_error(doc: Doc, root="") -> Column:

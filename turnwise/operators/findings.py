@@ -8,39 +8,16 @@ from pyspark.sql import functions as F
 from turnwise.functions import buckets as B
 from turnwise.functions.json_nodes import settled
 
-REREAD_FIX = (
-    "Prefer targeted searches and summarize file state before rereading the same files."
-)
-TOOL_FIX = (
-    "Cap command output and use narrower queries before pasting long terminal output into context."
-)
-RETRY_FIX = (
-    "Stop after repeated failures, inspect the invariant, and restart with a smaller "
-    "debugging scope."
-)
-GROWTH_FIX = (
-    "Compact after task pivots and avoid combining architecture, debugging, and "
-    "implementation in one long session."
-)
-ARGS_FIX = (
-    "Stop repeated identical tool calls after failure; inspect the invariant or change the "
-    "approach before retrying."
-)
-CACHE_FIX = (
-    "Treat cache-creation spikes as context-boundary events; compact or split the session "
-    "after major tool-output or configuration changes."
-)
-MCP_SEVERE_FIX = (
-    "Disable unused MCP servers by default and lazy-load heavy MCP servers only when needed."
-)
-MCP_HIGH_FIX = (
-    "Scope project-specific MCPs to project config instead of global config; prefer narrower "
-    "MCP servers over all-tools-enabled setups."
-)
-SKILL_SEVERE_FIX = (
-    "Move rarely used instructions out of always-loaded skill context; keep only high-signal "
-    "skills in the default agent context."
-)
+# The advice that goes with each finding.
+REREAD_FIX = "Prefer targeted searches and summarize file state before rereading the same files."
+TOOL_FIX = "Cap command output and use narrower queries before pasting long terminal output into context."
+RETRY_FIX = "Stop after repeated failures, inspect the invariant, and restart with a smaller debugging scope."
+GROWTH_FIX = "Compact after task pivots and avoid combining architecture, debugging, and implementation in one long session."
+ARGS_FIX = "Stop repeated identical tool calls after failure; inspect the invariant or change the approach before retrying."
+CACHE_FIX = "Treat cache-creation spikes as context-boundary events; compact or split the session after major tool-output or configuration changes."
+MCP_SEVERE_FIX = "Disable unused MCP servers by default and lazy-load heavy MCP servers only when needed."
+MCP_HIGH_FIX = "Scope project-specific MCPs to project config instead of global config; prefer narrower MCP servers over all-tools-enabled setups."
+SKILL_SEVERE_FIX = "Move rarely used instructions out of always-loaded skill context; keep only high-signal skills in the default agent context."
 SKILL_HIGH_FIX = "Split general skills from project-specific skills."
 DEFAULT_FIX = "Keep sessions scoped and compact before major task pivots."
 
@@ -192,7 +169,7 @@ def _by_id(finding: Column, table: dict, make, otherwise: Column) -> Column:
 
 
 def _share_of(total: Column, pct) -> Column:
-    return F.floor(total * pct / 100).cast("long")
+    return B.scaled(total, pct, 100)
 
 
 def _gross(finding: Column, total: Column) -> Column:
@@ -274,7 +251,7 @@ def with_savings(reports: DataFrame) -> DataFrame:
     over = F.col("_high") > F.col("_cap")
 
     def capped(value):
-        return F.floor(value * F.col("_cap") / F.col("_high")).cast("long")
+        return B.scaled(value, F.col("_cap"), F.col("_high"))
 
     scaled = F.transform(
         "_priced",
@@ -367,14 +344,12 @@ RECEIPT_METRICS = (
     ("rereads_per_turn", "rereads"),
     ("context_growth_per_turn", "context_growth_events"),
 )
+# The sentence for each evidence tier.
 TIER_SUMMARY = {
-    "proven": "Repeated controlled A/B benchmark evidence supports a causal savings claim for "
-    "this workflow.",
-    "verified": "Direct reducer receipts and independent normalized log counters both show "
-    "savings movement.",
+    "proven": "Repeated controlled A/B benchmark evidence supports a causal savings claim for this workflow.",
+    "verified": "Direct reducer receipts and independent normalized log counters both show savings movement.",
     "observed": "Normalized log metrics improved, but the workload was not controlled.",
-    "inconclusive": "Workload, source mix, sample size, or counter quality changed too much for "
-    "a savings claim.",
+    "inconclusive": "Workload, source mix, sample size, or counter quality changed too much for a savings claim.",
 }
 
 

@@ -18,23 +18,31 @@ MCP_PHRASES = (
 )
 SKILL_PHRASES = (r"following skills are available", r"available skills:")
 BULLET = r"^[\s\-*•]*([a-z0-9_][a-z0-9_:-]+)"
-MAX_BLOCK_LINES = 200
 SERVER_TOKENS, TOOL_TOKENS, SKILL_TOKENS = 250, 150, 400
 
-# Rest of the phrase's line, then lines up to the first blank one.
-_BLOCK = r"[^\n]*(?:\n(?![\r ]*\n)[^\n]*){0,%d}\n?" % (MAX_BLOCK_LINES - 1)
 
+def _block(max_lines: int | None = None) -> str:
+    """Rest of the phrase's line, then lines up to the first blank one (or `max_lines` in all).
 
-def header_blocks(text: Column, phrases) -> Column:
-    """Text after each exposure phrase up to a blank line or 200 lines."""
-    pattern = "(?i)(?:" + "|".join(phrases) + ")(?=(" + _BLOCK + "))"
+    Possessive, so that the matcher loops over the lines and its stack does not grow with them.
+    """
+    times = "*" if max_lines is None else "{0,%d}" % (max_lines - 1)
+    return r"[^\n]*+(?:\n(?![\r ]*\n)[^\n]*+)" + times + r"+\n?"
+
+
+def header_blocks(text: Column, phrases, max_lines: int | None = None) -> Column:
+    """Text after each exposure phrase up to a blank line."""
+    pattern = "(?i)(?:" + "|".join(phrases) + ")(?=(" + _block(max_lines) + "))"
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
 def outside_headers(text: Column) -> Column:
-    """The text without its exposure blocks: what is listed is not a call."""
+    """The text without its exposure blocks: what is listed is not a call.
+
+    A block ends at a blank line, so the block of a second heading inside one ends with it.
+    """
     phrases = "|".join(MCP_PHRASES + SKILL_PHRASES)
-    return F.regexp_replace(text, f"(?i)((?:{phrases})){_BLOCK}", "$1\n")
+    return F.regexp_replace(text, f"(?i)((?:{phrases})){_block()}", "$1\n")
 
 
 def _bullets(blocks: Column, clean) -> Column:

@@ -77,36 +77,30 @@ PACKAGE_MANAGERS = (
     ("uv", (r"\buv\b", r"uv\.lock")),
     ("yarn", (r"\byarn\b", r"yarn\.lock")),
 )
-PLUGIN_IDS = (
-    "browser", "canva", "figma", "github", "gmail", "google_calendar", "google_drive", "linear",
-    "notion", "slack",
+PLUGINS = (
+    ("browser", (r"(?i)\bplugin.?browser\b", r"(?i)@browser")),
+    ("canva", (r"(?i)\bplugin.?canva\b", r"(?i)@canva")),
+    ("figma", (r"(?i)\bplugin.?figma\b", r"(?i)@figma")),
+    ("github", (r"(?i)\bplugin.?github\b", r"(?i)@github")),
+    ("gmail", (r"(?i)\bplugin.?gmail\b", r"(?i)@gmail")),
+    ("google_calendar", (r"(?i)\bplugin.?google-calendar\b", r"(?i)@google-calendar")),
+    ("google_drive", (r"(?i)\bplugin.?google-drive\b", r"(?i)@google-drive")),
+    ("linear", (r"(?i)\bplugin.?linear\b", r"(?i)@linear")),
+    ("notion", (r"(?i)\bplugin.?notion\b", r"(?i)@notion")),
+    ("slack", (r"(?i)\bplugin.?slack\b", r"(?i)@slack")),
 )
-PLUGINS = tuple(
-    (p, (rf"(?i)\bplugin.?{p.replace('_', '-')}\b", rf"(?i)@{p.replace('_', '-')}"))
-    for p in PLUGIN_IDS
-)
-
-
-def _command(*names: str) -> str:
-    return r"(?i)(^|\s)/(" + "|".join(names) + r")\b"
-
-
-def _phrase(name: str) -> str:
-    return r"""(?i)(^|[\s`$"'(:/])""" + name + r"\b"
-
-
 SKILLS = (
-    ("ad_hoc_profile_load", (_phrase("ad-hoc-profile-load"),)),
-    ("benchmark", (_command("benchmark", "gstack-benchmark"),)),
-    ("design_review", (_command("design-review", "gstack-design-review"),)),
-    ("debugger_debbie", (_phrase("debugger-debbie"),)),
-    ("investigate", (_command("investigate", "gstack-investigate"),)),
-    ("plan_ceo_review", (_command("plan-ceo-review", "gstack-plan-ceo-review"),)),
-    ("plan_eng_review", (_command("plan-eng-review", "gstack-plan-eng-review"),)),
-    ("qa", (_command("qa", "gstack-qa"), r"(?i)\bskill.?qa\b")),
-    ("review", (_command("review", "gstack-review"), r"(?i)\bskill.?review\b")),
-    ("security", (_command("security", "security-review", "cso", "gstack-cso"),)),
-    ("ship", (_command("ship", "gstack-ship"), r"(?i)\bskill.?ship\b")),
+    ("ad_hoc_profile_load", (r"""(?i)(^|[\s`$"'(:/])ad-hoc-profile-load\b""",)),
+    ("benchmark", (r"(?i)(^|\s)/(benchmark|gstack-benchmark)\b",)),
+    ("design_review", (r"(?i)(^|\s)/(design-review|gstack-design-review)\b",)),
+    ("debugger_debbie", (r"""(?i)(^|[\s`$"'(:/])debugger-debbie\b""",)),
+    ("investigate", (r"(?i)(^|\s)/(investigate|gstack-investigate)\b",)),
+    ("plan_ceo_review", (r"(?i)(^|\s)/(plan-ceo-review|gstack-plan-ceo-review)\b",)),
+    ("plan_eng_review", (r"(?i)(^|\s)/(plan-eng-review|gstack-plan-eng-review)\b",)),
+    ("qa", (r"(?i)(^|\s)/(qa|gstack-qa)\b", r"(?i)\bskill.?qa\b")),
+    ("review", (r"(?i)(^|\s)/(review|gstack-review)\b", r"(?i)\bskill.?review\b")),
+    ("security", (r"(?i)(^|\s)/(security|security-review|cso|gstack-cso)\b",)),
+    ("ship", (r"(?i)(^|\s)/(ship|gstack-ship)\b", r"(?i)\bskill.?ship\b")),
 )
 CATEGORIES = {
     "coding_agent": CODING_AGENTS,
