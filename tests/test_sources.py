@@ -34,7 +34,9 @@ def test_bundles(spark, tmp_path):
         by.setdefault(r.bundle.rsplit("/", 1)[1], []).append((r.entry, r.reject))
     assert by["good.tgz"] == [("a.jsonl", None), ("d/b.jsonl", None)]
     assert by["up.tgz"] == [(None, "unsafe path")] and by["kind.tgz"] == [(None, "not a jsonl file")]
-    assert by["blank.tgz"] == [(None, "empty file")] and by["many.tgz"] == [(None, "too many files")]
+    assert by["blank.tgz"] == [(None, "empty file")] and len(by["many.tgz"]) == 101
+    few = bundles.read_bundles(spark, str(tmp_path / "many.tgz"), bundles.BundleLimits(files=100)).collect()
+    assert [(r.entry, r.reject) for r in few] == [(None, "too many files")]
     assert by["bad.tgz"] == [(None, "invalid archive")]
 
 
@@ -45,7 +47,9 @@ def test_read_logs(spark, tmp_path):
     (home / "big.jsonl").write_text("x" * 500)
     (home / "note.md").write_text("no")
     rows = L.read_logs(spark, [str(home), str(home)], glob="*.jsonl", max_bytes=100).collect()
-    assert [(r.source_id, r.content) for r in rows] == [("claude_code", "one\ntwo\n")]
+    assert {(r.source_id, r.content, r.too_large) for r in rows} == {("claude_code", "one\ntwo\n", False), ("claude_code", None, True)}
+    whole = L.read_logs(spark, str(home), glob="*.jsonl").collect()
+    assert sorted(len(r.content) for r in whole) == [8, 500]
 
 
 def test_strict_and_lenient_scans(spark, tmp_path):

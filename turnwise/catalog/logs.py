@@ -25,11 +25,14 @@ from turnwise.operators import recommend as R
 from turnwise.operators import retained as Re
 from turnwise.operators import sessions as Se
 from turnwise.operators import tooling as T
+from turnwise.operators import usage as U
 from turnwise.plans import adapters as Ad
+from turnwise.plans import analyze as An
+from turnwise.plans import report as Rp
 from turnwise.registry import detectors as D
 from turnwise.registry import signatures as S
 from turnwise.registry import tools as Tl
-from turnwise.session import ensure_checkpoint_dir
+from turnwise.session import cut_lineage, ensure_checkpoint_dir
 from turnwise.sources import bundles, feeds
 from turnwise.sources import logs as L
 from turnwise.streaming import jobs as St
@@ -173,7 +176,7 @@ def _(spark, sf):
     return rows.select("session_id", "size_bytes", F.date_format("mod_time", "yyyy-MM-dd").alias("day"))
 
 
-@query("s10_state_rows", "SELECT p_brand, key, rank, key_type, content FROM (SELECT p_brand, key, row_number() OVER (PARTITION BY p_brand ORDER BY key) AS rank, CASE WHEN p_partkey % 2 = 0 THEN 'agentkv' ELSE 'composer_data' END AS key_type, p_name || ' is a part' AS content FROM (SELECT *, CASE p_partkey % 4 WHEN 1 THEN 'composer.data' WHEN 3 THEN 'Composer.Data' ELSE 'agentKv:' END || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS key FROM part WHERE p_partkey % 5 <> 0)) WHERE rank <= 20")
+@query("s10_state_rows", "SELECT p_brand, key, rank, key_type, content FROM (SELECT p_brand, key, row_number() OVER (PARTITION BY p_brand ORDER BY key) AS rank, CASE WHEN p_partkey % 2 = 0 THEN 'agentkv' ELSE 'composer_data' END AS key_type, p_name || ' is a part' AS content FROM (SELECT *, CASE p_partkey % 4 WHEN 1 THEN 'composer.data' WHEN 3 THEN 'Composer.Data' ELSE 'agentKv:' END || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS key FROM part WHERE p_partkey % 5 <> 0))")
 def _(spark, sf):
     k = F.col("p_partkey")
     name = F.when(k % 4 == 1, "composer.data").when(k % 4 == 3, "Composer.Data").otherwise("agentKv:")
@@ -181,13 +184,13 @@ def _(spark, sf):
     text = F.concat("p_name", F.lit(" is a part"))
     value = F.when(k % 3 == 0, F.hex(F.encode(text, "UTF-8"))).otherwise(text).cast("binary")
     rows = Ad.table(spark, sf, "part").select("p_brand", F.concat(name, F.lpad(k.cast("string"), 9, "0")).alias("key"), value.alias("value"))
-    return L.state_rows(rows, ["agentKv:", "composer.data"], "p_brand", 20).select("p_brand", "key", F.col("rank").cast("long").alias("rank"), "key_type", "content")
+    return L.state_rows(rows, ["agentKv:", "composer.data"], "p_brand").select("p_brand", "key", F.col("rank").cast("long").alias("rank"), "key_type", "content")
 
 
-@query("s11_diagnostic_rows", "SELECT user_id, rank, level, error, content FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rank, event_type AS level, event_type = 'error' AS error, props AS content FROM events) WHERE rank <= 50")
+@query("s11_diagnostic_rows", "SELECT user_id, rank, level, error, content FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rank, event_type AS level, event_type = 'error' AS error, props AS content FROM events)")
 def _(spark, sf):
     rows = Ad.table(spark, sf, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.upper("event_type").alias("Level"), F.lit(" ").alias("body"), F.col("props").alias("text"))
-    out = L.diagnostic_rows(rows, "user_id", 50)
+    out = L.diagnostic_rows(rows, "user_id")
     return out.select("user_id", F.col("rank").cast("long").alias("rank"), "level", "error", "content")
 
 
@@ -235,7 +238,7 @@ def _pack(batches):
 def _(spark, sf):
     rows = Ad.table(spark, sf, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), "text")
     packed = rows.mapInPandas(_pack, "path string, content binary")
-    return packed.mapInPandas(bundles._expand, bundles.SCHEMA).select("bundle", "entry", F.sha2("content", 256).alias("content_hash"), "reject")
+    return bundles.expand_bundles(packed).select("bundle", "entry", F.sha2("content", 256).alias("content_hash"), "reject")
 
 
 def usage_rows(spark, sf):
@@ -836,3 +839,40 @@ def _(spark, sf):
 
     St.intake(spark, base + "/in", base + "/state", handle, glob="*.txt").awaitTermination()
     return spark.read.parquet(base + "/out").agg(F.sum("turns").alias("turns"))
+
+
+# Whole reports of logs --------------------------------------------------------------------------
+
+
+def kept_events(spark, sf):
+    """Retained events of the documents read as logs."""
+    docs = Ad.table(spark, sf, "documents")
+    logs = docs.select(F.col("doc_id").alias("log_id"), F.lit("claude_code").alias("source_id"), F.col("text").alias("content"))
+    sizes = docs.select(
+        F.col("doc_id").alias("log_id"), F.lit("claude_code").alias("source_id"),
+        F.octet_length("text").alias("size_bytes"), F.sha2("text", 256).alias("content_hash_sha256"),
+    )
+    analysis = An.analyze(logs, only=("claude_code",), cut=cut_lineage)
+    return Rp.retained(analysis, Rp.full_report(analysis), "1", sizes)
+
+
+@query(
+    "r02_retained_events",
+    f"""WITH {LINES}, n AS (SELECT log_id, count(*) AS turns FROM lines GROUP BY log_id)
+    SELECT doc_id AS log_id, 'free' AS scan_type, CASE WHEN strlen(text) < 1024 THEN '0_1024' WHEN strlen(text) < 1048576 THEN '1024_1048576' ELSE '1048576_10485760' END AS input_size_bucket,
+      CASE WHEN turns < 10 THEN '0_10' WHEN turns < 50 THEN '10_50' WHEN turns < 100 THEN '50_100' WHEN turns < 200 THEN '100_200' ELSE '200_plus' END AS turn_bucket,
+      sha256(text) AS content_hash, CASE WHEN regexp_matches(lower(text), 'jj ') THEN 'jj' WHEN regexp_matches(lower(text), 'git ') THEN 'git' ELSE 'unknown' END AS version_control
+    FROM documents JOIN n ON doc_id = log_id""",
+)
+def _(spark, sf):
+    e = kept_events(spark, sf)
+    return e.select(
+        "log_id", "scan_type", "input_size_bucket", "turn_bucket",
+        F.col("analyzed_log_hashes")[0]["content_hash_sha256"].alias("content_hash"), F.col("ecosystem.version_control").alias("version_control"),
+    )
+
+
+@query("r03_cohort_from_logs")
+def _(spark, sf):
+    """Counters of the kept events; no SQL gives the findings and recommendations behind them."""
+    return U.cohort_summary(kept_events(spark, sf), minimum=1)[0]

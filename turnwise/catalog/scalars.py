@@ -318,7 +318,7 @@ def _(spark, sf):
     return table(spark, sf, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
-        retained.clamp_count((F.col("l_extendedprice") / 50).cast("long")).alias("n"),
+        retained.clamp_count((F.col("l_extendedprice") / 50).cast("long"), 1000).alias("n"),
         B.clamp((F.col("l_discount") * 1500).cast("long"), 0, 100).cast("long").alias("pct"),
     )
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from turnwise.functions import buckets as B
 from turnwise.registry import tools as R
 
-SOURCE_CAP = 100
 SIGNAL_OF_FINDING = (
     "tool_output_bloat", "repeated_file_reads", "retry_loop", "context_growth_spikes",
 )
@@ -103,14 +102,16 @@ def tool_evidence(
     return mentioned.unionByName(prints).unionByName(surfaces)
 
 
-def tool_states(evidence: DataFrame, tools: DataFrame, log: str) -> tuple[DataFrame, DataFrame]:
-    """(state per log and tool, capped source counts); unknown tools are left out."""
-    known = evidence.join(F.broadcast(tools.select("tool_id")), "tool_id", "left_semi")
+def tool_states(
+    evidence: DataFrame, tools: DataFrame, log: str, max_count: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(state per log and tool, source counts up to `max_count`); unknown tools are left out."""
+    known = evidence.join(tools.select("tool_id"), "tool_id", "left_semi")
     states = known.groupBy(log, "tool_id").agg(
         F.max_by("state", B.rank(F.col("state"), R.TOOL_STATES)).alias("state")
     )
     sources = known.groupBy(log, "tool_id", "source").agg(
-        F.least(F.sum("count"), F.lit(SOURCE_CAP)).cast("long").alias("count")
+        (F.sum("count") if max_count is None else F.least(F.sum("count"), F.lit(max_count))).cast("long").alias("count")
     )
     return states, sources
 

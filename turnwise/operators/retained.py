@@ -31,7 +31,6 @@ REASONS = (
 POLICIES = (
     "bundle", "recommend", "recommend_with_waiver", "research_only", "reference_only",
 )
-MAX_COUNT = 1000
 
 
 def _labels(thresholds) -> tuple[str, ...]:
@@ -52,8 +51,9 @@ def allowed_ids(ids: Column, category: str, categories=S.CATEGORIES) -> Column:
     return F.array_sort(F.array_intersect(ids, allowed))
 
 
-def clamp_count(value: Column) -> Column:
-    return B.clamp(value, 0, MAX_COUNT).cast("long")
+def clamp_count(value: Column, most: int | None = None) -> Column:
+    """Not below zero; not above `most` if given."""
+    return (F.greatest(value, F.lit(0)) if most is None else B.clamp(value, 0, most)).cast("long")
 
 
 def keep_findings(findings: DataFrame, allowed=FINDING_IDS) -> DataFrame:
@@ -63,19 +63,19 @@ def keep_findings(findings: DataFrame, allowed=FINDING_IDS) -> DataFrame:
     )
 
 
-def keep_redactions(counts: DataFrame, allowed=REDACTION_FAMILIES) -> DataFrame:
+def keep_redactions(counts: DataFrame, allowed=REDACTION_FAMILIES, most: int | None = None) -> DataFrame:
     return counts.filter(F.col("family").isin(*allowed)).withColumn(
-        "count", clamp_count(F.col("count"))
+        "count", clamp_count(F.col("count"), most)
     )
 
 
-def keep_fingerprints(prints: DataFrame, known: DataFrame) -> DataFrame:
+def keep_fingerprints(prints: DataFrame, known: DataFrame, most: int | None = None) -> DataFrame:
     """Registered fingerprints with bounded labels."""
-    kept = prints.join(F.broadcast(known.select("fingerprint_id")), "fingerprint_id", "left_semi")
+    kept = prints.join(known.select("fingerprint_id"), "fingerprint_id", "left_semi")
     return kept.withColumns(
         {
             "confidence": B.enum_or_unknown(F.col("confidence"), B.CONFIDENCE_LABELS),
-            "evidence_count": clamp_count(F.col("evidence_count")),
+            "evidence_count": clamp_count(F.col("evidence_count"), most),
             "version_bucket": B.coarse_version(F.col("version_bucket")),
         }
     )

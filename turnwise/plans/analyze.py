@@ -19,6 +19,7 @@ from turnwise.operators import tooling as T
 class Analysis:
     """Frames of one analysis; all lazy."""
 
+    logs: DataFrame  # scrubbed
     redactions: DataFrame  # log_id, family, count
     turns: DataFrame
     events: DataFrame
@@ -38,11 +39,11 @@ def analyze(logs: DataFrame, only: tuple[str, ...] | None = None, cut=None) -> A
     """Scrub, parse, normalise, fold and rate every log (`log_id, source_id, content`).
 
     A log is one row of bounded size, so everything up to the turns is narrow; the folds
-    share the key `log_id`. `cut`, e.g. `session.cut_lineage`, is applied to the turns and
-    events that several results read, so that they are parsed once.
+    share the key `log_id`. `cut`, e.g. `session.cut_lineage`, is applied to what several
+    results read, so that every log is scrubbed, parsed and rated once.
     """
     cut = cut or (lambda df: df)
-    clean = scrub(logs)
+    clean = cut(scrub(logs))
     redactions = clean.select("log_id", F.inline("redactions"))
     lines = N.lines_of(clean.select("log_id", "source_id", "content"))
     turns = cut(
@@ -53,15 +54,16 @@ def analyze(logs: DataFrame, only: tuple[str, ...] | None = None, cut=None) -> A
     metrics = Se.session_metrics(turns, reads=reads)
     signals = Se.session_signals(events, step=N.POSITION_STEP)
     both = Se.reconcile(metrics, signals)
-    use = T.utilization(clean, turns, metrics)
+    use = cut(T.utilization(clean, turns, metrics))
     bands = use.select("log_id", "mcp_band", "skill_band")
-    reports = Fd.with_savings(Fd.with_findings(both.join(bands, "log_id")))
+    reports = cut(Fd.with_savings(Fd.with_findings(both.join(bands, "log_id"))))
     return Analysis(
+        clean,
         redactions,
         turns,
         events,
         Se.timeline(turns, reads=reads),
-        T.ecosystem(clean),
+        cut(T.ecosystem(clean)),
         use,
         reports,
     )
@@ -71,5 +73,7 @@ def merged_reports(reports: DataFrame, *by: str) -> DataFrame:
     """Merge reports per group and rate the merged counters."""
     metrics = M.merge_metrics(reports, *by)
     signals = M.merge_signals(reports, *by).drop("session_count")
-    both = metrics.join(signals, list(by)) if by else metrics.crossJoin(signals)
+    if not by:
+        metrics, signals = metrics.withColumn("_all", F.lit(0)), signals.withColumn("_all", F.lit(0))
+    both = metrics.join(signals, list(by) or ["_all"]).drop("_all")
     return Fd.with_savings(Fd.with_findings(both, merged=True))

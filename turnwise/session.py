@@ -29,12 +29,20 @@ def get_spark(master: str = "local[8]", app: str = "turnwise", **conf) -> SparkS
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the session names; make one only when none is named."""
+    """Use the folder the session names in `spark.checkpoint.dir`.
+
+    Without one, a session inside a single process makes a folder of its own; on a cluster, where
+    executors could not see it, this raises.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="turnwise-ckpt-"))
+    if named is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="turnwise-ckpt-")
+    sc.setCheckpointDir(named)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

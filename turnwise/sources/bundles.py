@@ -6,13 +6,11 @@ import io
 import posixpath
 import tarfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-MAX_FILES = 100
-MAX_FILE_BYTES = 50 * 1024 * 1024
-MAX_TOTAL_BYTES = 250 * 1024 * 1024
 SCHEMA = "bundle string, entry string, ordinal int, content string, reject string"
 
 
@@ -22,7 +20,20 @@ def _bad_name(name: str) -> bool:
     return unsafe or clean.startswith("../") or "/../" in clean
 
 
-def _entries(data: bytes) -> Iterator[tuple[str, str]]:
+@dataclass(frozen=True)
+class BundleLimits:
+    """A bundle beyond one of these is rejected as a whole; None: no limit."""
+
+    files: int | None = None
+    file_bytes: int | None = None
+    total_bytes: int | None = None
+
+
+def _above(value: int, most: int | None) -> bool:
+    return most is not None and value > most
+
+
+def _entries(data: bytes, limits: BundleLimits) -> Iterator[tuple[str, str]]:
     """(name, text) of each log; a ValueError names the first broken limit."""
     count = total = 0
     try:
@@ -36,11 +47,11 @@ def _entries(data: bytes) -> Iterator[tuple[str, str]]:
                     raise ValueError("unsafe path")
                 if not member.name.lower().endswith(".jsonl"):
                     raise ValueError("not a jsonl file")
-                if count >= MAX_FILES:
+                if _above(count + 1, limits.files):
                     raise ValueError("too many files")
-                if member.size > MAX_FILE_BYTES:
+                if _above(member.size, limits.file_bytes):
                     raise ValueError("file too large")
-                if total + member.size > MAX_TOTAL_BYTES:
+                if _above(total + member.size, limits.total_bytes):
                     raise ValueError("bundle too large")
                 body = archive.extractfile(member).read()
                 if not body.strip():
@@ -53,23 +64,26 @@ def _entries(data: bytes) -> Iterator[tuple[str, str]]:
         raise ValueError("no logs")
 
 
-def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _expand(batches: Iterator[pd.DataFrame], limits: BundleLimits) -> Iterator[pd.DataFrame]:
     columns = ["bundle", "entry", "ordinal", "content", "reject"]
     for batch in batches:
         for path, data in zip(batch["path"], batch["content"]):
             rows = []
             try:
-                for i, (name, text) in enumerate(_entries(bytes(data)), 1):
+                for i, (name, text) in enumerate(_entries(bytes(data), limits), 1):
                     rows.append((path, name, i, text, None))
             except ValueError as err:
                 rows = [(path, None, None, None, str(err))]
             yield pd.DataFrame(rows, columns=columns)
 
 
-def read_bundles(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per log in each archive; a bundle that breaks a limit gives one reject row.
+def expand_bundles(archives: DataFrame, limits: BundleLimits = BundleLimits()) -> DataFrame:
+    """One row per log of `archives` (path, content); a bad bundle gives one reject row."""
+    rows = archives.select("path", "content")
+    return rows.mapInPandas(lambda batches: _expand(batches, limits), SCHEMA)
+
 
-    Bundles are expanded where they are read, one at a time, within the size limits.
-    """
+def read_bundles(spark: SparkSession, paths: str | list[str], limits: BundleLimits = BundleLimits()) -> DataFrame:
+    """`expand_bundles` of the files under `paths`, expanded where they are read, one at a time."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    return files.select("path", "content").mapInPandas(_expand, SCHEMA)
+    return expand_bundles(files, limits)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import json_nodes as J
 from turnwise.functions import text as X
+from turnwise.operators import blocks
 
-# id, label, accept pattern over the path. `(?i)` where case does not matter.
+# Id, label, accept pattern over the path. `(?i)` where case does not matter.
 SOURCES = (
     ("claude_code", "Claude Code", r"(?i)\.jsonl$"),
     ("codex", "Codex", r"(?i)\.jsonl$"),
@@ -26,7 +27,7 @@ SOURCES = (
     ("opencode", "OpenCode", r"(?i)/opencode/.*\.json$"),
 )
 
-# First rule whose pattern occurs in the lower-case path names the source.
+# The first rule whose pattern occurs in the lower-case path names the source.
 PATH_RULES = (
     ("claude_desktop", r"/local-agent-mode-sessions/|/claude-code-sessions/"),
     ("claude_desktop", r"/claude/(.*/)?audit\.jsonl$"),
@@ -41,9 +42,6 @@ PATH_RULES = (
     ("claude_code", r"/\.claude/"),
 )
 EXPOSURE_HEADER = "Available MCP servers:\n"
-MAX_KV_ROWS = 500
-MAX_VALUE_BYTES = 256 * 1024
-MAX_FIELD = 256
 
 
 def infer_source(path: Column, rules=PATH_RULES) -> Column:
@@ -86,13 +84,13 @@ def read_logs(
     paths: str | list[str],
     glob: str | None = None,
     min_bytes: int = 0,
-    max_bytes: int = 50 * 1024 * 1024,
+    max_bytes: int | None = None,
     source: str | None = None,
 ) -> DataFrame:
     """Every file under the roots as one row (S03). Sizes are checked before reading.
 
-    One row per file keeps the line order; files above `max_bytes` are not read. Spark's
-    listing skips folders whose name starts with a dot, so name such a folder as a root.
+    One row per file keeps the line order. With `max_bytes`, larger files stay as rows without
+    content, marked `too_large`. Spark's listing skips folders whose name starts with a dot, so name such a folder as a root.
     """
     roots = [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
     files = spark.read.text(roots, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
@@ -102,7 +100,10 @@ def read_logs(
         F.col("_metadata.file_modification_time").alias("mod_time"),
         F.col("_metadata.file_size").alias("size_bytes"),
     )
-    df = df.filter((F.col("size_bytes") >= min_bytes) & (F.col("size_bytes") <= max_bytes))
+    df = df.filter(F.col("size_bytes") >= min_bytes)
+    if max_bytes is not None:
+        over = F.col("size_bytes") > max_bytes
+        df = df.withColumns({"too_large": over, "content": F.when(~over, F.col("content"))})
     picked = infer_source(F.col("path")) if source is None else F.lit(source)
     return df.withColumn("source_id", picked).withColumn(
         "log_id", F.substring(F.sha2("path", 256), 1, 16)
@@ -313,9 +314,9 @@ def key_type(key: Column, prefixes: list[str]) -> Column:
     return out
 
 
-def value_text(value: Column) -> Column:
-    """Bounded UTF-8 text of a stored value; even-length hex is decoded; '' if unreadable."""
-    raw = F.substring(value, 1, MAX_VALUE_BYTES)
+def value_text(value: Column, max_bytes: int | None = None) -> Column:
+    """UTF-8 text of a stored value, of its first `max_bytes` if given; even-length hex is decoded; '' if unreadable."""
+    raw = value if max_bytes is None else F.substring(value, 1, max_bytes)
     text = F.when(F.is_valid_utf8(raw.cast("string")), X.trimmed(raw.cast("string")))
     is_hex = (F.length(text) >= 8) & (F.length(text) % 2 == 0) & text.rlike("^[0-9A-Fa-f]+$")
     plain = F.unhex(F.when(is_hex, text)).cast("string")
@@ -323,27 +324,45 @@ def value_text(value: Column) -> Column:
     return F.coalesce(decoded, text, F.lit(""))
 
 
-def state_rows(table: DataFrame, prefixes: list[str], by: str | None = None, k: int = MAX_KV_ROWS) -> DataFrame:
-    """First 500 state rows per store in key order as transcript lines.
+def _ranked(rows: DataFrame, by: str | None, order: list[Column], k: int | None) -> DataFrame:
+    """Add `rank` per store. A limit runs before the shuffle; without one, stores are numbered in blocks."""
+    if k is not None:
+        part = [by] if by else [F.lit(0)]
+        rank = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
+        return rows.withColumn("rank", rank).filter(F.col("rank") <= k)
+    names = [f"_o{i}" for i in range(len(order))]
+    rows = rows.withColumns(dict(zip(names, order)) | {"_store": F.col(by) if by else F.lit(0)})
+    placed = blocks.dense_position(rows, "_store", names, out="rank")
+    return placed.withColumn("rank", (F.col("rank") + 1).cast("int")).drop("_store", *names)
 
-    `table` has key (string) and value (binary). Rank limits run before the shuffle.
+
+def state_rows(
+    table: DataFrame, prefixes: list[str], by: str | None = None, k: int | None = None, max_bytes: int | None = None
+) -> DataFrame:
+    """State rows per store in key order as transcript lines.
+
+    `table` has key (string) and value (binary). `k` keeps the first rows of a store, `max_bytes`
+    the start of a value; `truncated` marks what was cut.
     """
     rows = table.withColumn("key_type", key_type(F.col("key"), prefixes)).filter(
         F.col("key_type").isNotNull()
     )
-    part = [by] if by else [F.lit(0)]
-    rank = F.row_number().over(Window.partitionBy(*part).orderBy("key"))
-    rows = rows.withColumn("rank", rank).filter(F.col("rank") <= k)
-    rows = rows.withColumn("content", value_text(F.col("value"))).filter(F.col("content") != "")
+    rows = _ranked(rows, by, [F.col("key")], k)
+    rows = rows.withColumn("content", value_text(F.col("value"), max_bytes)).filter(F.col("content") != "")
     keep = [by] if by else []
     return rows.select(
         *keep, "key", "rank", "key_type", "content",
-        (F.octet_length("content") >= MAX_VALUE_BYTES).alias("truncated"),
+        (F.lit(False) if max_bytes is None else F.octet_length("value") > max_bytes).alias("truncated"),
     )
 
 
-def diagnostic_rows(table: DataFrame, by: str | None = None, k: int = MAX_KV_ROWS) -> DataFrame:
-    """Newest 500 diagnostic rows with bounded fields (S11). Missing columns count as empty."""
+def diagnostic_rows(
+    table: DataFrame, by: str | None = None, k: int | None = None, max_field: int | None = None, max_bytes: int | None = None
+) -> DataFrame:
+    """Diagnostic rows, newest first (S11). Missing columns count as empty.
+
+    `k` keeps the newest rows of a store, `max_field` and `max_bytes` the start of fields and content.
+    """
     have = {c.lower(): c for c in table.columns}
 
     def cell(*names):
@@ -353,15 +372,22 @@ def diagnostic_rows(table: DataFrame, by: str | None = None, k: int = MAX_KV_ROW
         return F.coalesce(*cols, F.lit("")) if cols else F.lit("")
 
     if "ts" in have and "ts_nanos" in have:
-        order = [F.desc(have["ts"]), F.desc(have["ts_nanos"])]
+        newest = [have["ts"], have["ts_nanos"]]
     else:
         first = next((n for n in ("ts", "timestamp", "created_at", "rowid") if n in have), None)
-        order = [F.desc(have[first])] if first else [F.lit(0)]
-    part = [by] if by else [F.lit(0)]
-    rank = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
-    rows = table.withColumn("rank", rank).filter(F.col("rank") <= k)
+        newest = [have[first]] if first else []
+    if k is None:
+        # Numbered from the oldest on, then counted from the other end.
+        rows = _ranked(table, by, [F.col(c) for c in newest] or [F.lit(0)], None)
+        store = F.col(by) if by else F.lit(0)
+        last = rows.groupBy(store.alias("_store")).agg(F.max("rank").alias("_last"))
+        rows = rows.withColumn("_store", store).join(last, "_store")
+        rows = rows.withColumn("rank", F.col("_last") + 1 - F.col("rank")).drop("_store", "_last")
+    else:
+        rows = _ranked(table, by, [F.desc(c) for c in newest] or [F.lit(0)], k)
     level = F.lower(cell("level", "severity"))
-    bounded = lambda c: F.substring(c, 1, MAX_FIELD)
+    first_of = lambda c, n: c if n is None else F.substring(c, 1, n)
+    bounded = lambda c: first_of(c, max_field)
     keep = [by] if by else []
     return rows.select(
         *keep,
@@ -371,9 +397,7 @@ def diagnostic_rows(table: DataFrame, by: str | None = None, k: int = MAX_KV_ROW
         F.coalesce(cell("estimated_bytes", "bytes").try_cast("long"), F.lit(0)).alias("estimated_bytes"),
         level.contains("error").alias("error"),
         bounded(cell("ts", "timestamp", "created_at")).alias("timestamp"),
-        F.substring(
-            cell("feedback_log_body", "message", "body", "text", "content", "error"), 1, MAX_VALUE_BYTES
-        ).alias("content"),
+        first_of(cell("feedback_log_body", "message", "body", "text", "content", "error"), max_bytes).alias("content"),
         bounded(cell("module_path", "module", "target")).alias("module"),
         (cell("file", "filename", "path") != "").alias("has_file"),
         (cell("line", "line_number") != "").alias("has_line"),
