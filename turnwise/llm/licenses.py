@@ -10,9 +10,14 @@ directory above it that has one, found by a join of its ancestors' paths.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.session import cut_lineage
+
 # License ids and the sentences by which files name them.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -60,14 +65,17 @@ def _weighted(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return weighted.join(norms, key)
 
 
+def _template_terms() -> list[Column]:
+    counts = [(i, Counter(t for t in re.split("[^a-z0-9]+", text.lower()) if t)) for i, (_, text) in enumerate(TEMPLATES)]
+    return [F.struct(F.lit(i).alias("template"), F.lit(t).alias("term"), F.lit(n).alias("tf")) for i, c in counts for t, n in c.items()]
+
+
 def line_licenses(lines: DataFrame, least: float) -> DataFrame:
     """(line, license, score) for the distinct lines whose best template has a cosine of `least` or more."""
     spark = lines.sparkSession
-    counted = lines.groupBy("line").agg(F.count("*").alias("n"))
-    rows = [F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text")) for i, (name, text) in enumerate(TEMPLATES)]
-    templates = spark.range(1).select(F.inline(F.array(*rows)))
-    template_tf = templates.select("template", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
-    tf = counted.select("line", "n", F.explode(terms(F.col("line"))).alias("term")).groupBy("line", "n", "term").agg(F.count("*").alias("tf"))
+    counted = cut_lineage(lines.groupBy("line").agg(F.count("*").alias("n")))
+    template_tf = spark.range(1).select(F.inline(F.array(*_template_terms())))
+    tf = cut_lineage(counted.select("line", "n", F.explode(terms(F.col("line"))).alias("term")).groupBy("line", "n", "term").agg(F.count("*").alias("tf")))
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("d"))
     known = tf.groupBy("term").agg(F.sum("n").alias("df"))
     every = known.join(template_tf.select("term").distinct(), "term", "full").select("term", F.coalesce("df", F.lit(0)).alias("df"))
@@ -75,7 +83,8 @@ def line_licenses(lines: DataFrame, least: float) -> DataFrame:
     a = _weighted(tf.select("line", "term", "tf"), idf, "line")
     b = _weighted(template_tf.select("template", "term", "tf"), idf, "template").select("template", "term", F.col("w").alias("tw"), F.col("norm").alias("tnorm"))
     dots = a.join(F.broadcast(b), "term").groupBy("line", "template").agg((F.sum(F.col("w") * F.col("tw")) / F.first("norm") / F.first("tnorm")).alias("cosine"))
-    scored = dots.join(F.broadcast(templates.select("template", "license")), "template").select("line", "license", F.round("cosine", 6).alias("score"))
+    names = F.array(*[F.lit(name) for name, _ in TEMPLATES])
+    scored = dots.select("line", F.get(names, "template").alias("license"), F.round("cosine", 6).alias("score"))
     best = scored.groupBy("line").agg(F.min(F.struct(-F.col("score"), "license")).alias("best"))
     return best.select("line", F.col("best.license").alias("license"), (-F.col("best.col1")).alias("score")).filter(F.col("score") >= least)
 
@@ -96,6 +105,7 @@ def scan(
     speaks = path.rlike(LICENSE_FILE) if is_license_file is None else F.coalesce(is_license_file, F.lit(False))
     files = df.select(F.col(id_col).alias("id"), path.alias("path"), lines.alias("lines"), speaks.alias("speaks"))
     found = files.select("id", "path", "speaks", F.explode("lines").alias("line")).withColumn("line", F.trim("line")).filter(F.col("line").rlike(CUE))
+    found = cut_lineage(found)
     matched = found.join(line_licenses(found, least), "line")
     own = matched.groupBy("id", "path", "speaks").agg(F.min(F.struct(-F.col("score"), "license")).alias("best"))
     own = own.select("id", "path", "speaks", F.col("best.license").alias("own_license"), (-F.col("best.col1")).alias("own_score"))
