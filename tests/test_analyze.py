@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from turnwise.operators import merge as M
 from turnwise.operators import tooling as T
 from turnwise.plans.analyze import analyze, merged_reports
+from turnwise.plans.report import retain_batches
+from turnwise.sources import feeds
+from turnwise.streaming import jobs as St
 
 KEY = "sk-ant-" + "7q" * 18
 READS = ["lib/parse.py", "docs/notes.md", "lib/parse.py", "lib/parse.py", "docs/notes.md", "lib/parse.py", "docs/notes.md"]
@@ -78,3 +81,19 @@ def test_bands_never_warn_on_count_alone(spark):
     band = T.mcp_band(F.lit(True), F.col("c"), F.lit("none"), F.lit("15k-50k"), F.col("r"))
     assert [r[0] for r in df.select(band).collect()] == ["normal", "normal", "severe", "high", "normal"]
     assert df.select(T.mcp_band(F.lit(False), F.col("c"), F.lit("none"), F.lit("none"), F.col("r"))).distinct().first()[0] == "unknown"
+
+
+def test_arriving_logs_become_retained_events(spark, tmp_path):
+    home = tmp_path / "in" / ".claude"
+    home.mkdir(parents=True)
+    (home / "a.jsonl").write_text("\n".join(map(json.dumps, FIRST)))
+    (home / "b.jsonl").write_text("plain words\n")
+    stream = St.intake(spark, str(home), str(tmp_path / "ckpt"), retain_batches(str(tmp_path / "out"), "9"))
+    stream.awaitTermination()
+    kept = {r.turn_bucket: r for r in feeds.retained_events(spark, str(tmp_path / "out")).collect()}
+    assert set(kept) == {"0_10", "10_50"}
+    row = kept["10_50"]
+    assert row.findings["retry_loop"] == "medium" and row.redactions == {"anthropic_key": 1}
+    assert row.ecosystem.client == "claude_code" and row.ecosystem.workflow_frameworks == ["bmad"]
+    assert row.analyzed_log_hashes[0].source_id == "claude_code" and row.analyzer_version == "9"
+    assert row.recommendation.primary["class"] and "acme" not in str(row) and KEY not in str(row)

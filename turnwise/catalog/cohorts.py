@@ -202,9 +202,7 @@ def _(spark, sf):
 def _(spark, sf):
     logs = Ad.logs_from_documents(Ad.table(spark, sf, "documents"))
     kept, skipped = Sel.largest_first(logs, "size_bytes", "log_id", 20000, 20)
-    return kept.select(F.col("log_id").alias("doc_id"), "size_bytes").crossJoin(
-        F.broadcast(skipped.select(F.col("skipped_too_large").alias("skipped")))
-    )
+    return kept.select(F.col("log_id").alias("doc_id"), "size_bytes", skipped.select("skipped_too_large").scalar().alias("skipped"))
 
 
 @query("o04_target_sized_selection")

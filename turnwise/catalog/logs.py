@@ -498,7 +498,7 @@ def _(spark, sf):
 @query("a39_unknown_servers", f"WITH {EXP} SELECT log_id, CAST(1 AS BIGINT) AS unknown_mcp_server_count FROM ex")
 def _(spark, sf):
     logs = exposure_logs(spark, sf)
-    ids = spark.createDataFrame([("mcp", "github")], "category string, id string").crossJoin(logs.select("log_id"))
+    ids = logs.select("log_id", F.lit("mcp").alias("category"), F.lit("github").alias("id"))
     return T.unknown_mcp_count(logs, ids)
 
 
@@ -793,7 +793,7 @@ def run_stream(spark, source, build, name: str):
 
 @query("t03_suppression_stream", f"WITH {MAILS} SELECT sha256('u' || user_id || '@x.example') AS email_hash, count(*) FILTER (type = 'bounce') AS bounce_count, count(*) FILTER (type = 'complaint') AS complaint_count, strftime(min(date_trunc('second', ts)), '%Y-%m-%d %H:%M:%S') AS suppressed_at FROM mails WHERE reject IS NULL AND type IN ('bounce', 'complaint') GROUP BY user_id")
 def _(spark, sf):
-    rows = run_stream(spark, mail_messages(spark, sf), lambda s: St.suppression_stream(St.parse_mail_events(s)), "t03")
+    rows = run_stream(spark, mail_messages(spark, sf), lambda s: St.suppression_stream(St.parse_mail_events(s), once=True), "t03")
     last = rows.groupBy("email_hash").agg(F.max_by(F.struct("bounce_count", "complaint_count", "suppressed_at"), F.struct("_batch", F.col("bounce_count") + F.col("complaint_count"))).alias("l"))
     return last.select("email_hash", "l.bounce_count", "l.complaint_count", F.date_format("l.suppressed_at", "yyyy-MM-dd HH:mm:ss").alias("suppressed_at"))
 
@@ -817,8 +817,8 @@ def _(spark, sf):
 
 @query("t06_new_hashes_stream", "SELECT DISTINCT sha256(text) AS hash FROM documents")
 def _(spark, sf):
-    rows = Ad.table(spark, sf, "documents").select(F.sha2("text", 256).alias("hash"))
-    return run_stream(spark, rows, St.new_hashes, "t06").select("hash")
+    rows = Ad.table(spark, sf, "documents").select(F.sha2("text", 256).alias("hash"), F.lit("2024-01-01").cast("timestamp").alias("seen_at"))
+    return run_stream(spark, rows, lambda s: St.new_hashes(s, "seen_at"), "t06").select("hash")
 
 
 @query("t07_retry_stream", f"WITH {RETRY_T}, {RETRY_CALLS}, {RETRY_SEG}, {RETRY_LOOPS} SELECT log_id, CAST(args_hashed_retry_loops AS BIGINT) AS args_hashed_retry_loops FROM loops")

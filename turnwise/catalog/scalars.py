@@ -340,8 +340,8 @@ def _(spark, sf):
     events = table(spark, sf, "events")
     newest = events.agg(F.max("ts").alias("until"))
     seconds = U.lookback_seconds()
-    kept = events.crossJoin(F.broadcast(newest)).filter(
-        F.col("ts") >= F.col("until") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
+    kept = events.filter(
+        F.col("ts") >= newest.scalar() - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
     )
     return kept.agg(
         F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) > U.row_limit("")).alias("truncated")

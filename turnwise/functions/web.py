@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Path prefixes and the templates they are reported as, in test order.
 PATH_TEMPLATES = (
@@ -98,15 +94,25 @@ def client_hash(salt: str, ip: Column) -> Column:
     )
 
 
-@F.pandas_udf(T.StringType())
-def _ipv6_prefix(ip: pd.Series) -> pd.Series:
-    def one(value):
-        try:
-            return str(ipaddress.IPv6Network((value, 48), strict=False))
-        except ValueError:
-            return ""
-
-    return ip.map(one, na_action="ignore")
+def _ipv6_prefix(ip: Column) -> Column:
+    """The first three groups as a /48 network in short form; '' for what is no IPv6 address."""
+    text = F.lower(ip)
+    dotted = F.regexp_extract(text, r"[^:]*\.[^:]*$", 0)
+    # A dotted tail stands for the last two groups, which the prefix does not show.
+    text = F.when(_is_ipv4(dotted), F.regexp_replace(text, r"[^:]*\.[^:]*$", "0:0")).otherwise(text)
+    halves = F.split(text, "::")
+
+    def groups(half: Column) -> Column:
+        return F.when(F.coalesce(half, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+
+    left, right = groups(F.get(halves, 0)), groups(F.get(halves, 1))
+    given = F.size(left) + F.size(right)
+    fits = ((F.size(halves) == 1) & (given == 8)) | ((F.size(halves) == 2) & (given <= 7))
+    ok = fits & F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0))), right)
+    plain = F.transform(F.slice(whole, 1, 3), lambda g: F.regexp_replace(g, "^0+(?=.)", ""))
+    short = F.regexp_replace(F.array_join(plain, ":"), "(^|:)0(:0)*$", "")
+    return F.when(ip.isNotNull(), F.when(ok, F.concat(short, F.lit("::/48"))).otherwise(""))
 
 
 IPV4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"

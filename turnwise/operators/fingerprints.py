@@ -51,7 +51,7 @@ def marker_hits(
     probes = spark.createDataFrame(
         [m for m in markers if m[2] in ("cli_binary", "cli_version_probe")], D.MARKER_SCHEMA
     )
-    present = inventory.join(F.broadcast(probes), "binary").withColumn(
+    present = inventory.join(probes, "binary").withColumn(
         "version_bucket",
         F.when(F.col("source_class") == "cli_version_probe", B.version_bucket(F.col("version_text"))).otherwise(""),
     )
@@ -60,7 +60,7 @@ def marker_hits(
     )
     # A version marker needs the detector's own binary marker for that binary.
     own = probes.filter(F.col("source_class") == "cli_binary").select("detector_id", "binary")
-    paired = paired.join(F.broadcast(own), ["detector_id", "binary"], "left_semi")
+    paired = paired.join(own, ["detector_id", "binary"], "left_semi")
     return found.unionByName(
         paired.select(
             log, "detector_id", F.col("marker_id").cast("int").alias("marker_id"), "source_class",
@@ -80,11 +80,11 @@ def evaluate(hits: DataFrame, detectors: DataFrame, rules: DataFrame, log: str =
     )
     per = per.filter(~F.col("_veto") & (F.size("classes") > 0))
     verified = detectors.filter(F.col("status") == "verified").select("detector_id", "priority")
-    per = per.join(F.broadcast(verified), "detector_id")
+    per = per.join(verified, "detector_id")
     table = rules.groupBy("detector_id").agg(
         F.collect_list(F.struct("confidence", "any_of", "all_of", "distinct_classes")).alias("_rules")
     )
-    per = per.join(F.broadcast(table), "detector_id", "left")
+    per = per.join(table, "detector_id", "left")
 
     def holds(r):
         every = F.coalesce(r["all_of"], F.array().cast("array<string>"))

@@ -37,7 +37,7 @@ def derive_signals(
     trackers = tools.filter(F.col("class") == "usage_visibility").select(
         F.col("tool_id").alias("fingerprint_id")
     )
-    tracked = fingerprints.filter("active").join(F.broadcast(trackers), "fingerprint_id", "left_semi")
+    tracked = fingerprints.filter("active").join(trackers, "fingerprint_id", "left_semi")
     untracked = bands.select(log).join(tracked.select(log), log, "left_anti").select(
         log, F.lit("no_usage_visibility").alias("signal")
     )
@@ -118,7 +118,7 @@ def tool_states(
 
 def fired_rules(signals: DataFrame, rules: DataFrame, log: str) -> DataFrame:
     """(log, rule) with the fired signals sorted and the representative one."""
-    hit = signals.join(F.broadcast(rules), "signal")
+    hit = signals.join(rules, "signal")
     return hit.groupBy(log, "precedence", "class", "primary_reason").agg(
         F.sort_array(F.collect_set("signal")).alias("signals"),
         F.min_by("signal", "signal_rank").alias("for_signal"),
@@ -141,7 +141,7 @@ def candidates(
         .withColumn("_failed", F.lit(True))
     )
     rows = (
-        fired.join(F.broadcast(eligible), "class", "left")
+        fired.join(eligible, "class", "left")
         .join(states, [log, "tool_id"], "left")
         .join(quota, [log, "tool_id"], "left")
     )
@@ -280,7 +280,7 @@ def unknown_ids(signals: DataFrame, evidence: DataFrame, tools: DataFrame, log:
         log, F.col("signal").alias("id")
     )
     bad_tools = (
-        evidence.join(F.broadcast(tools.select("tool_id")), "tool_id", "left_anti")
+        evidence.join(tools.select("tool_id"), "tool_id", "left_anti")
         .select(log, F.col("tool_id").alias("id"))
         .distinct()
     )
@@ -314,7 +314,7 @@ def customizations(findings: DataFrame, logs: DataFrame, log: str) -> DataFrame:
     """(log, customization_id), the baseline one where no rule fires."""
     spark = findings.sparkSession
     table = spark.createDataFrame(list(R.CUSTOMIZATIONS), "finding_id string, customization_id string")
-    hit = findings.join(F.broadcast(table), "finding_id").select(log, "customization_id").distinct()
+    hit = findings.join(table, "finding_id").select(log, "customization_id").distinct()
     rest = logs.select(log).distinct().join(hit, log, "left_anti")
     return hit.unionByName(
         rest.select(log, F.lit(R.BASELINE_CUSTOMIZATION).alias("customization_id"))
@@ -327,7 +327,7 @@ def remediation_tools(facts: DataFrame, tools: DataFrame, log: str) -> DataFrame
     Each log needs an (`always`, '') fact.
     """
     spark = facts.sparkSession
-    hits = facts.join(F.broadcast(R.remediations(spark)), ["kind", "value"])
+    hits = facts.join(R.remediations(spark), ["kind", "value"])
     hits = hits.select(log, "tool_id", F.col("category").alias("why")).distinct()
     reg = tools.select(
         F.col("tool_id").alias("_reg"),
@@ -337,7 +337,7 @@ def remediation_tools(facts: DataFrame, tools: DataFrame, log: str) -> DataFrame
         "data_movement_risk",
     )
     key = F.translate("tool_id", "-", "_")
-    rows = hits.withColumn("_reg", key).join(F.broadcast(reg), "_reg", "left")
+    rows = hits.withColumn("_reg", key).join(reg, "_reg", "left")
     known = F.col("class").isNotNull()
     return rows.select(
         log,
@@ -362,7 +362,7 @@ def public_tokens(ids: DataFrame, labels: DataFrame, allowed: DataFrame, log: st
     client, operating_system, shell, version_control.
     """
     safe = r"^[A-Za-z0-9_.-]+$"
-    listed = ids.filter(F.col("id").rlike(safe)).join(F.broadcast(allowed), ["prefix", "id"], "left_semi")
+    listed = ids.filter(F.col("id").rlike(safe)).join(allowed, ["prefix", "id"], "left_semi")
     named = F.array(
         *[
             F.struct(F.lit(prefix).alias("prefix"), F.col(col).alias("id"))

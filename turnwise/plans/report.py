@@ -13,11 +13,13 @@ from turnwise.operators import fingerprints as Fp
 from turnwise.operators import recommend as R
 from turnwise.operators import retained as Re
 from turnwise.operators import tooling as T
-from turnwise.plans.analyze import Analysis
+from turnwise.plans.analyze import Analysis, analyze
 from turnwise.registry import detectors as D
 from turnwise.registry import signatures as S
 from turnwise.registry import tools as Tl
+from turnwise.session import cut_lineage
 from turnwise.sources import feeds
+from turnwise.sources.logs import with_source
 
 #: Category of the registry, and the field of the event that lists its ids.
 ECOSYSTEM_FIELDS = (
@@ -192,6 +194,24 @@ def retained(a: Analysis, report: Report, version: str, sizes: DataFrame, parser
     return out.select("log_id", *[F.col(c).cast(kinds[c]).alias(c) for c in kinds])
 
 
+def retain_batches(out: str, version: str):
+    """Handler for `streaming.jobs.intake`: analyzes each batch of logs and writes its retained events.
+
+    A batch has a folder of its own, so one that runs again after a failure replaces its events.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        logs = with_source(batch).select("log_id", "source_id", "content")
+        sizes = logs.select(
+            "log_id", "source_id", F.octet_length("content").alias("size_bytes"), F.sha2("content", 256).alias("content_hash_sha256")
+        )
+        analysis = analyze(logs, cut=cut_lineage)
+        events = retained(analysis, full_report(analysis), version, sizes)
+        events.drop("log_id").write.mode("overwrite").json(f"{out}/batch={batch_id}")
+
+    return handle
+
+
 def _schema():
     from pyspark.sql.types import StructType
 

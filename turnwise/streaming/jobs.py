@@ -133,11 +133,18 @@ class SuppressionState(StatefulProcessor):
         pass
 
 
-def suppression_stream(events: DataFrame) -> DataFrame:
-    """Latest suppression row per address and batch. Redelivered messages count once."""
+def suppression_stream(
+    events: DataFrame, once: bool = False, ts: str = "created_at", watermark: str = "7 days"
+) -> DataFrame:
+    """Latest suppression row per address and batch. Every arrival counts.
+
+    With `once`, a message that is delivered again within the watermark does not.
+    """
     bad = events.filter(
         F.col("reject").isNull() & F.col("type").isin("bounce", "complaint", "reject")
-    ).dropDuplicates(["message_id", "email_hash", "type"])
+    )
+    if once:
+        bad = bad.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["message_id", "email_hash", "type"])
     return bad.groupBy("email_hash").transformWithStateInPandas(
         SuppressionState(), SUPPRESSION_SCHEMA, "Update", "None"
     )
@@ -194,10 +201,8 @@ def matched_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     )
 
 
-def new_hashes(events: DataFrame, ts: str | None = None, watermark: str = "7 days") -> DataFrame:
-    """The first row of each content hash (T06); with a time column the state is bounded."""
-    if ts is None:
-        return events.dropDuplicates(["hash"])
+def new_hashes(events: DataFrame, ts: str, watermark: str = "7 days") -> DataFrame:
+    """The first row of each content hash (T06); the watermark on `ts` bounds the state."""
     return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["hash"])
 
 
