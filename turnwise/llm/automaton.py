@@ -32,8 +32,8 @@ from turnwise.session import cut_lineage
 
 CHUNK = 2 << 20
 HELD_BYTES = 24 << 20
-PER_PART = 10_000
-HOT = 2_000
+PER_PART = 2_500
+HOT = 500
 SPLIT = 8
 
 
