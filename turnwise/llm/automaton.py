@@ -11,8 +11,9 @@ are broadcast and the documents streamed through each.
 `deduplicate` takes the documents themselves as the reference, which no broadcast can hold. There
 the shards follow the anchors of `anchors`: equal windows share an anchor, so the windows of one
 anchor form a reference shard of their own, and only documents that pass the broadcast filter of
-repeated anchors send the words around them there. Anchors that occur very often are split by the
-content of their windows, and equal stretches of a task travel once.
+repeated anchors send the words around them there. The windows of anchors that occur very often
+go to shards of their own, and equal stretches of a task travel once, so a shard has at most a row for each
+task and distinct stretch.
 """
 
 from __future__ import annotations
@@ -34,7 +35,6 @@ CHUNK = 2 << 20
 HELD_BYTES = 24 << 20
 PER_PART = 2_500
 HOT = 500
-SPLIT = 8
 
 
 class SuffixAutomaton:
@@ -150,7 +150,7 @@ def earlier_spans(df: DataFrame, length: int = 50, core: int = 16, id_col: str =
     seen = per_core.agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
     every, warm, total = A.repeated_filter(seen, "core", F.col("n"), F.col("n") > HOT)
     bits = df.sparkSession.sparkContext.broadcast((every.tobytes(), warm.tobytes()))
-    parts, wide = max(1, -(-total // PER_PART)), max(1, (length - core) // SPLIT)
+    parts = max(1, -(-total // PER_PART))
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passing, hot = (np.frombuffer(b, np.uint8) for b in bits.value)
@@ -168,12 +168,9 @@ def earlier_spans(df: DataFrame, length: int = 50, core: int = 16, id_col: str =
                     ws = lists[text]
                     pieces = [(first, last, h)]
                     if split:
-                        # windows of a hot anchor meet by what all windows of a few starts have in common
-                        pieces = []
-                        for slot in range((at - last) // wide, (at - first) // wide + 1):
-                            lo, hi = at - slot * wide - wide + 1, at - slot * wide
-                            meet = xxhash.xxh64_intdigest(b" ".join(ws[hi : lo + length]), slot)
-                            pieces.append((max(first, lo), min(last, hi), meet - (1 << 63)))
+                        # each window of a hot anchor goes its own way
+                        windows = range(first, last + 1)
+                        pieces = [(x, x, xxhash.xxh64_intdigest(b" ".join(ws[x : x + length])) - (1 << 63)) for x in windows]
                     for x, y, meet in pieces:
                         stretch = b" ".join(ws[x : y + length])
                         owners = held.get((meet, stretch))
