@@ -34,7 +34,7 @@ from turnwise.session import cut_lineage
 CHUNK = 2 << 20
 HELD_BYTES = 24 << 20
 PER_PART = 2_500
-HOT = 500
+HOT = 1_000
 
 
 class SuffixAutomaton:
@@ -177,8 +177,11 @@ def earlier_spans(df: DataFrame, length: int = 50, core: int = 16, id_col: str =
                         if owners is None:
                             owners = held[meet, stretch] = []
                             size += len(stretch) + 200
-                        owners += ids[text], keys[text], x
-                        size += 24
+                        if owners and owners[-3] == keys[text] and owners[-1] == x - 1:
+                            owners[-1] = x  # the same stretch one word further on
+                        else:
+                            owners += ids[text], keys[text], x, x
+                            size += 32
                 if size >= HELD_BYTES:
                     yield _stretch_rows(held, parts)
                     held, size = {}, 0
@@ -200,18 +203,18 @@ def earlier_spans(df: DataFrame, length: int = 50, core: int = 16, id_col: str =
             reference = SuffixAutomaton()
             lists = [s.split(b" ") for s in shard]
             for ws, owners in zip(lists, shard.values(), strict=True):
-                reference.add(ws, min(owners[::3]))
+                reference.add(ws, min(owners[::4]))
             reference.finish()
             for ws, owners in zip(lists, shard.values(), strict=True):
                 least = reference.matches(ws, length)
                 highest = max(least)
-                for k in range(0, len(owners), 3):
-                    i, key, at = owners[k : k + 3]
+                for k in range(0, len(owners), 4):
+                    i, key, at, last = owners[k : k + 4]
                     runs = [(0, len(least) - 1)] if highest < i else _runs([m < i for m in least])
                     for x, y in runs:
                         keys.append(key)
                         starts.append(at + x)
-                        stops.append(at + y + length)
+                        stops.append(last + y + length)
         return pa.table([pa.array(x, pa.int64()) for x in (keys, starts, stops)], [key_col, "start", "stop"])
 
     return sent.groupBy("part").applyInArrow(streamed, f"`{key_col}` bigint, start bigint, stop bigint")
