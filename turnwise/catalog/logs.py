@@ -455,7 +455,7 @@ def exposure_logs(spark, sf):
     calls = F.concat(F.lit("\nuse mcp__github__get and mcp__acme_"), (d % 3).cast("string"), F.lit("__run\n"))
     skills = F.when(d % 5 == 0, F.lit("\nThe following skills are available\n- review\n- my-own\n\n")).otherwise("\n")
     content = F.concat(F.when(d % 3 != 2, header).otherwise(""), F.regexp_replace("text", r"[/$]", " "), calls, skills, F.lit("\nplease /review and /fancy-thing\n"))
-    return Ad.table(spark, sf, "documents").select(d.alias("log_id"), F.col("source").alias("source_id"), content.alias("content"))
+    return Ad.texts(spark, sf, "documents").select(d.alias("log_id"), F.col("source").alias("source_id"), content.alias("content"))
 
 
 EXP = """ex AS (SELECT doc_id AS log_id, doc_id % 3 <> 2 AS header, CASE WHEN doc_id % 4 = 0 THEN 30 ELSE 3 END AS listed, doc_id % 5 = 0 AS skills, CASE WHEN doc_id % 4 = 0 THEN 320 + 0 ELSE 27 END AS x FROM documents)"""

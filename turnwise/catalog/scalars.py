@@ -9,9 +9,10 @@ from turnwise.functions import buckets as B
 from turnwise.functions import json_nodes as J
 from turnwise.functions import text as X
 from turnwise.functions import web as Wb
+from turnwise.functions.json_nodes import settled
 from turnwise.operators import mining, retained, tooling
 from turnwise.operators import usage as U
-from turnwise.plans.adapters import requests_from_pages, table
+from turnwise.plans.adapters import requests_from_pages, table, texts
 from turnwise.registry import detectors, signatures
 
 
@@ -43,7 +44,7 @@ FAMILY_ROWS = " UNION ALL ".join(
 
 
 def scrubbed(spark, sf):
-    return X.with_scrubbed(table(spark, sf, "documents"), "text")
+    return X.with_scrubbed(texts(spark, sf, "documents"), "text")
 
 
 @query(
@@ -225,7 +226,7 @@ def mentioned(spark, sf):
         one = F.when(F.col("doc_id") % 7 == i, " " + m).otherwise(one)
     for i, m in enumerate(AGENT_MENTIONS):
         two = F.when(F.col("doc_id") % 6 == i, " " + m).otherwise(two)
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id", "lang", "source", F.concat("text", one, two).alias("t")
     )
 
@@ -235,9 +236,10 @@ def mentioned(spark, sf):
     f"SELECT id, count(*) AS documents FROM ({match_sql(MENTIONED, 'doc_id', 't', signatures.PACKAGE_MANAGERS)}) GROUP BY id",
 )
 def _(spark, sf):
-    ids = X.matching_ids(F.col("t"), signatures.PACKAGE_MANAGERS)
+    rows = settled(mentioned(spark, sf), {"low": F.lower("t")})
+    ids = X.matching_ids(F.col("t"), signatures.PACKAGE_MANAGERS, F.col("low"))
     return (
-        mentioned(spark, sf).select(F.explode(ids).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("documents"))
+        rows.select(F.explode(ids).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("documents"))
     )
 
 

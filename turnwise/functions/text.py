@@ -138,11 +138,13 @@ def with_scrubbed(df, text: str, out: str = "scrubbed", counts: str = "redaction
     """Add the scrubbed text and an array of (family, count) for families that fired.
 
     Each rule reads the column the rule before settled, so no expression nests more than
-    one replacement.
+    one replacement. Hints are looked for in one lower-case column, which is made anew only
+    for rows that a rule has changed.
     """
-    current = text
+    current, low = text, "_low"
+    df = settled(df, {low: F.lower(F.col(text))})
     for i, (family, pattern) in enumerate(SECRET_RULES):
-        lowered = F.lower(F.col(current))
+        lowered = F.col(low)
         hinted = lowered.contains(SECRET_HINTS[family][0])
         for hint in SECRET_HINTS[family][1:]:
             hinted = hinted | lowered.contains(hint)
@@ -152,12 +154,18 @@ def with_scrubbed(df, text: str, out: str = "scrubbed", counts: str = "redaction
         )
         step = f"_s_{i}"
         clean = F.regexp_replace(F.col(current), pattern, redaction_marker(family))
+        fired = F.col(f"_n_{family}") > 0
+        next_low = f"_low_{i}"
         df = settled(
-            df, {step: F.when(F.col(f"_n_{family}") > 0, clean).otherwise(F.col(current))}
-        )
+            df,
+            {
+                step: F.when(fired, clean).otherwise(F.col(current)),
+                next_low: F.when(fired, F.lower(clean)).otherwise(lowered),
+            },
+        ).drop(low)
         if current != text:
             df = df.drop(current)
-        current = step
+        current, low = step, next_low
     families = F.array(
         *[
             F.struct(F.lit(name).alias("family"), F.col(f"_n_{name}").alias("count"))
@@ -167,7 +175,7 @@ def with_scrubbed(df, text: str, out: str = "scrubbed", counts: str = "redaction
     return (
         df.withColumn(counts, F.filter(families, lambda r: r["count"] > 0))
         .withColumn(out, F.col(current))
-        .drop(current, *[f"_n_{name}" for name, _ in SECRET_RULES])
+        .drop(current, low, *[f"_n_{name}" for name, _ in SECRET_RULES])
     )
 
 
