@@ -206,6 +206,31 @@ def test_near_copies_of_five_words(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for n in range(30) for i in (3 * n, 3 * n + 1))
 
 
+def test_near_copies_are_those_of_exact_similarity(spark):
+    """Texts that share a repeated footer only, exact copies, chains and pairs on both sides of 0.8, against brute force."""
+    rng = random.Random(19)
+    footer = [f"foot{i}" for i in range(12)]
+    texts = [" ".join([f"w{rng.randrange(10**6)}" for _ in range(600)] + footer * 33) for _ in range(12)]
+    for changes in (1, 4, 8, 12, 16, 22, 30):
+        for _ in range(4):
+            ws = [f"x{rng.randrange(10**6)}" for _ in range(500)]
+            for _ in range(3):
+                texts.append(" ".join(ws))
+                for at in rng.sample(range(500), changes):
+                    ws[at] = f"y{rng.randrange(10**6)}"
+    hub = [f"h{rng.randrange(10**6)}" for _ in range(500)]
+    for _ in range(40):
+        texts.append(" ".join(f"z{rng.randrange(10**6)}" if rng.random() < 0.015 else w for w in hub))
+    texts += texts[:4]
+    sets = [{tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} for ws in map(str.split, texts)]
+    near = [np.array([10 * len(s & t) >= 8 * len(s | t) for t in sets]) for s in sets]
+    want = set(brute_components(list(range(len(texts))), lambda i: near[i]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in covering.distinct(df).collect()}
+    assert want <= kept and set(range(12)) <= kept
+    assert len(kept) <= len(want) + 2  # pairs at 0.8 may have a bit too many to meet
+
+
 def test_copies_edges(odd_docs, empty_docs):
     rows = covering.near_duplicates(odd_docs).toPandas()
     assert len(rows) == odd_docs.count() and set(rows.fingerprint[rows.doc_id < 3]) == {"0" * 16}

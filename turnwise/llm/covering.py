@@ -126,8 +126,11 @@ def visits(x: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(anchors), np.concatenate(owner)
 
 
-def shingle_hashes(texts: list[str | None], shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """XXH64 of all word shingles of all texts (all words of a short one), and their number per text."""
+def shingle_hashes(texts: list[str | None], shingle: int, seed: int = 42, once: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of all word shingles of all texts (all words of a short one), and their number per text.
+
+    With `once` those of a text are sorted and a repeated one counts once.
+    """
     hashes, counts = [], []
     digest = xxhash.xxh64_intdigest
     for text in texts:
@@ -139,8 +142,9 @@ def shingle_hashes(texts: list[str | None], shingle: int, seed: int = 42) -> tup
             ends = np.cumsum([len(w) + 1 for w in ws]) - 1
             starts = np.r_[0, ends[: len(ws) - shingle] + 1].tolist()
             found = [digest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
-        hashes.append(np.array(found, np.uint64))
-        counts.append(len(found))
+        found = np.array(found, np.uint64)
+        hashes.append(np.unique(found) if once else found)
+        counts.append(len(hashes[-1]))
     return np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.array(counts, np.int64)
 
 
@@ -248,12 +252,17 @@ LONG_WORDS = 4
 LONG_BLOCKS = 64 * LONG_WORDS // 23
 
 
-def long_fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
+def long_fingerprints(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """(n, 4): 256 bits from four mixings of each shingle's hash."""
-    h, counts = shingle_hashes(texts, shingle)
     return np.stack([majority(mixed(h + np.uint64((i + 1) * int(STEP) % (1 << 64))), counts) for i in range(LONG_WORDS)], 1)
 
 
+def _set_keys(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One hash for each set of sorted hashes."""
+    parts = np.split(h, np.cumsum(counts)[:-1])
+    return np.array([xxhash.xxh64_intdigest(p.tobytes()) for p in parts], np.uint64).view(np.int64)
+
+
 @cache
 def _golay_moves() -> tuple[Block, list[np.ndarray]]:
     block = Block(0, 23, 3, _golay_syndromes())
@@ -287,78 +296,132 @@ def most_bits_apart(similarity: float) -> int:
     return int(n * p + np.sqrt(n * p * (1 - p)))
 
 
-def _local_roots(fp: np.ndarray, home: np.ndarray, cut: int) -> np.ndarray:
-    """Smallest index in the group of each row, where rows at home link to all rows at most `cut` bits away."""
-    root = np.arange(len(fp))
-    for some in np.array_split(home, -(-len(home) * len(fp) // 4_000_000)):
+#: What a text proposes where it meets others of another label: the first, the nearest in bits, or all.
+FIRST, NEAREST, ALL = range(3)
+
+
+def _proposed(fp: np.ndarray, n: np.ndarray, label: np.ndarray, home: np.ndarray, cut: int, similarity: float, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, partner, bits apart): rows at home meet all rows; both of a pair have at most `cut` bits apart, another label and sizes that allow the similarity."""
+    size, far = len(fp), 64 * LONG_WORDS + 1
+    best, partner, found = np.full(size, far, np.int16), np.full(size, size), []
+    for some in np.array_split(home, -(-len(home) * size // 4_000_000)):
         apart = sum(np.bitwise_count(fp[some, i][:, None] ^ fp[None, :, i]).astype(np.int16) for i in range(fp.shape[1]))
-        i, j = np.nonzero(apart <= cut)
-        i = some[i]
-        own = i != j
-        i, j = i[own], j[own]
-        before = None
-        while len(i) and (before is None or (root != before).any()):
-            before = root.copy()
-            low = np.minimum(root[i], root[j])
-            for ends in (i, j, before[i], before[j]):
-                np.minimum.at(root, ends, low)
-            root = root[root]
-    return root
+        small, large = np.minimum(n[some][:, None], n[None, :]), np.maximum(n[some][:, None], n[None, :])
+        ok = (apart <= cut) & (label[some][:, None] != label[None, :]) & (small >= (similarity - 1e-9) * large)
+        if which == ALL:
+            i, j = np.nonzero(ok)
+            found.append((some[i], j, apart[i, j]))
+            continue
+        apart = np.where(ok, apart, far)
+        for rows, there, axis in ((some, np.arange(size), 1), (np.arange(size), some, 0)):
+            at = (apart if which == NEAREST else ~ok).argmin(axis)
+            bits = np.take_along_axis(apart, np.expand_dims(at, axis), axis).reshape(-1)
+            other = there[at]
+            better = bits < best[rows] if which == NEAREST else other < partner[rows]
+            better &= bits < far
+            best[rows[better]], partner[rows[better]] = bits[better], other[better]
+    if which == ALL:
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    rows = np.flatnonzero(partner < size)
+    return rows, partner[rows], best[rows]
 
 
 def distinct(df: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of `df` that are first (by id) in their group of near copies; all columns as they are.
 
-    Texts are near copies from a Jaccard similarity of about `similarity` of their word shingles on,
+    Texts are near copies from a Jaccard similarity of `similarity` of their sets of word shingles on,
     groups are what chains of near copies connect. Two bits of 64 tell only texts
-    that are nearly equal, so here a fingerprint has 256 bits and its eleven blocks of
+    that are nearly equal, so here a fingerprint has 256 bits of the distinct shingles and its eleven blocks of
     23 have the Golay code's words as anchors; a text visits the anchors that are home to a block
     with at most one bit turned, and meets there the texts at home. Pairs at an anchor that
-    differ in no more bits than expected are linked; an anchor gives at most one link for each text
-    that visits it. Copies count once. Null and empty texts form one group. Ids are integers; of rows with
+    differ in no more bits than expected are candidates, and linked if the exact similarity of
+    their sets (64-bit hashes of shingles) confirms it. A group of n copies has n * n pairs, so each text
+    first proposes its first partner only, then the nearest one outside its group; what is
+    then still apart is compared pair by pair. Texts of one set count once. Null and empty texts form one group. Ids are integers; of rows with
     one id one stays, rows with a null id go; an empty table gives none.
     """
     cut = most_bits_apart(similarity)
     words = [f"f{i}" for i in range(LONG_WORDS)]
+    fields = ", ".join(f"{w} bigint" for w in words)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in text_chunks(batch, text_col, 2 << 20):
-                fp = long_fingerprints(texts, shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([rows.column("id"), *(pa.array(fp[:, i].copy()) for i in range(LONG_WORDS))], ["id", *words])
+                h, counts = shingle_hashes(texts, shingle, once=True)
+                fp = long_fingerprints(h, counts).view(np.int64)
+                cols = [pa.array(_set_keys(h, counts)), pa.array(counts), rows.column("id"), *(pa.array(fp[:, i].copy()) for i in range(LONG_WORDS))]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "n", "id", *words])
 
-    fields = ", ".join(f"{w} bigint" for w in words)
     rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col)
-    nodes = cut_lineage(rows.mapInArrow(prints, f"id bigint, {fields}").groupBy(*words).agg(F.min("id").alias("id")))
+    firsts = [F.first(c).alias(c) for c in ("n", *words)]
+    nodes = cut_lineage(rows.mapInArrow(prints, f"key bigint, n bigint, id bigint, {fields}").groupBy("key").agg(F.min("id").alias("id"), *firsts))
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = ["key", "n", "label", *words]
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 fp = np.stack([part.column(w).to_numpy(zero_copy_only=False).view(np.uint64) for w in words], 1)
                 cell, row, home = long_cells(fp)
-                rest = part.select(["id", *words]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(home), *rest.columns], ["cell", "home", "id", *words])
-
-    def linked(table: pa.Table) -> pa.Table:
-        cell = table.column("cell").to_numpy()
-        order = np.argsort(cell, kind="stable")
-        ids, at_home = table.column("id").to_numpy()[order], table.column("home").to_numpy()[order]
-        fp = np.stack([table.column(w).to_numpy().view(np.uint64) for w in words], 1)[order]
-        edges = np.flatnonzero(np.r_[True, cell[order][1:] != cell[order][:-1], True])
-        some = np.flatnonzero((np.diff(edges) > 1) & np.logical_or.reduceat(at_home, edges[:-1]))
-        a, b = [], []
-        for start, stop in zip(edges[some].tolist(), edges[some + 1].tolist(), strict=True):
-            root = _local_roots(fp[start:stop], np.flatnonzero(at_home[start:stop]), cut)
-            mine = np.flatnonzero(root != np.arange(stop - start))
-            a.append(ids[start:stop][mine])
-            b.append(ids[start:stop][root[mine]])
-        return pa.table({n: np.concatenate([np.zeros(0, np.int64), *x]) for n, x in (("a", a), ("b", b))})
+                rest = part.select(carried).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(home), *rest.columns], ["cell", "home", *carried])
+
+    def met(labelled: DataFrame, which: int) -> DataFrame:
+        """(a, b, apart): candidates between nodes of different labels."""
+
+        def linked(table: pa.Table) -> pa.Table:
+            cell, key = table.column("cell").to_numpy(), table.column("key").to_numpy()
+            order = np.lexsort((key, cell))
+            key, n, label, at_home = (table.column(c).to_numpy()[order] for c in ("key", "n", "label", "home"))
+            fp = np.stack([table.column(w).to_numpy().view(np.uint64) for w in words], 1)[order]
+            edges = np.flatnonzero(np.r_[True, cell[order][1:] != cell[order][:-1], True])
+            some = np.flatnonzero((np.diff(edges) > 1) & np.logical_or.reduceat(at_home, edges[:-1]))
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16))]
+            for start, stop in zip(edges[some].tolist(), edges[some + 1].tolist(), strict=True):
+                own = slice(start, stop)
+                i, j, apart = _proposed(fp[own], n[own], label[own], np.flatnonzero(at_home[own]), cut, similarity, which)
+                out.append((key[own][i], key[own][j], apart))
+            a, b, apart = (np.concatenate(x) for x in zip(*out, strict=True))
+            return pa.table({"a": a, "b": b, "apart": apart})
+
+        cells = labelled.mapInArrow(sent, f"cell bigint, home boolean, key bigint, n bigint, label bigint, {fields}")
+        found = cells.withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(buckets))).groupBy("bucket").applyInArrow(linked, "a bigint, b bigint, apart smallint")
+        if which == FIRST:
+            found = found.groupBy("a").agg(F.min("b").alias("b"))
+        elif which == NEAREST:
+            found = found.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", "m.b")
+        return cut_lineage(found.select("a", "b"))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in text_chunks(batch, text_col, 2 << 20):
+                h, counts = shingle_hashes(texts, shingle, once=True)
+                sets = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([rows.column("key"), pa.array(_set_keys(h, counts)), sets], ["key", "own", "shingles"])
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        left, right = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"of_{k}")) for k in ("a", "b"))
+        shared = F.size(F.array_intersect("of_a", "of_b"))
+        either = F.size("of_a") + F.size("of_b") - shared
+        return pairs.join(left, "a").join(right, "b").filter(shared >= (similarity - 1e-9) * either).select("a", "b")
+
+    def labels_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+        return nodes.join(components(edges), F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("root", "key")).drop("node", "root")
 
     buckets = max(32, nodes.count() // 1000)
-    met = nodes.mapInArrow(sent, f"cell bigint, home boolean, id bigint, {fields}")
-    met = met.withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(buckets))).groupBy("bucket").applyInArrow(linked, "a bigint, b bigint")
-    roots = components(met)
-    later = roots.filter("root <> node").select(F.col("node").alias("id"))
-    first = nodes.select("id").join(later, "id", "left_anti").withColumnRenamed("id", "__first")
+    pairs = met(nodes.withColumn("label", F.col("key")), FIRST)
+    close = cut_lineage(nodes.join(pairs.select(F.col("a").alias("key")), "key", "left_semi"))
+    buckets = max(32, close.count() // 1000)
+    wanted = close.select("key", F.col("id").alias("first_id"))
+    texts = rows.join(wanted, F.col("id") == F.col("first_id")).select("key", text_col)
+    sets = texts.mapInArrow(shingles, "key bigint, own bigint, shingles array<bigint>").filter("key = own")
+    sets = cut_lineage(sets.dropDuplicates(["key"]))
+    edges = cut_lineage(confirmed(pairs))
+    for which in (NEAREST, ALL):
+        pairs = met(labels_of(close, edges), which)
+        if pairs.isEmpty():
+            break
+        edges = cut_lineage(edges.union(confirmed(pairs)))
+    first = labels_of(nodes, edges).groupBy("label").agg(F.min("id").alias("__first")).select("__first")
     return df.join(first, F.col(id_col) == F.col("__first"), "left_semi").dropDuplicates([id_col])
