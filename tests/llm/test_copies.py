@@ -231,6 +231,12 @@ def test_near_copies_are_those_of_exact_similarity(spark):
     assert len(kept) <= len(want) + 2  # pairs at 0.8 may have a bit too many to meet
 
 
+def test_near_copies_do_not_need_unique_ids(spark):
+    rows = [(None, "a text of no id"), (None, "another text of no id"), (1, "first of one"), (1, "second of one"), (2, "first of one"), (None, "second of one"), (1, "first of one"), (3, None), (None, "")]
+    got = covering.distinct(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[0], rows[1], rows[2], rows[3], rows[7]], key=str)
+
+
 def test_copies_edges(odd_docs, empty_docs):
     rows = covering.near_duplicates(odd_docs).toPandas()
     assert len(rows) == odd_docs.count() and set(rows.fingerprint[rows.doc_id < 3]) == {"0" * 16}

@@ -337,8 +337,8 @@ def distinct(df: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: s
     differ in no more bits than expected are candidates, and linked if the exact similarity of
     their sets (64-bit hashes of shingles) confirms it. A group of n copies has n * n pairs, so each text
     first proposes its first partner only, then the nearest one outside its group; what is
-    then still apart is compared pair by pair. Texts of one set count once. Null and empty texts form one group. Ids are integers; of rows with
-    one id one stays, rows with a null id go; an empty table gives none.
+    then still apart is compared pair by pair. Texts of one set count once. Null and empty texts form one group. Ids are integers and need not be
+    unique: rows are told apart by a 64-bit hash of id and text, and of rows equal in both one stays. A null id comes last. An empty table gives none.
     """
     cut = most_bits_apart(similarity)
     words = [f"f{i}" for i in range(LONG_WORDS)]
@@ -349,12 +349,14 @@ def distinct(df: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: s
             for rows, texts in text_chunks(batch, text_col, 2 << 20):
                 h, counts = shingle_hashes(texts, shingle, once=True)
                 fp = long_fingerprints(h, counts).view(np.int64)
-                cols = [pa.array(_set_keys(h, counts)), pa.array(counts), rows.column("id"), *(pa.array(fp[:, i].copy()) for i in range(LONG_WORDS))]
-                yield pa.RecordBatch.from_arrays(cols, ["key", "n", "id", *words])
+                cols = [pa.array(_set_keys(h, counts)), pa.array(counts), rows.column("id"), rows.column("row"), *(pa.array(fp[:, i].copy()) for i in range(LONG_WORDS))]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "n", "id", "row", *words])
 
-    rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col)
+    row = F.xxhash64(F.col(id_col), F.col(id_col).isNull(), F.col(text_col), F.col(text_col).isNull())
+    rows = df.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), text_col)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     firsts = [F.first(c).alias(c) for c in ("n", *words)]
-    nodes = cut_lineage(rows.mapInArrow(prints, f"key bigint, n bigint, id bigint, {fields}").groupBy("key").agg(F.min("id").alias("id"), *firsts))
+    nodes = cut_lineage(rows.mapInArrow(prints, f"key bigint, n bigint, id bigint, row bigint, {fields}").groupBy("key").agg(first, *firsts))
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = ["key", "n", "label", *words]
@@ -413,8 +415,8 @@ def distinct(df: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: s
     pairs = met(nodes.withColumn("label", F.col("key")), FIRST)
     close = cut_lineage(nodes.join(pairs.select(F.col("a").alias("key")), "key", "left_semi"))
     buckets = max(32, close.count() // 1000)
-    wanted = close.select("key", F.col("id").alias("first_id"))
-    texts = rows.join(wanted, F.col("id") == F.col("first_id")).select("key", text_col)
+    wanted = close.select("key", F.col("first.row").alias("first_row"))
+    texts = rows.join(wanted, F.col("row") == F.col("first_row")).select("key", text_col)
     sets = texts.mapInArrow(shingles, "key bigint, own bigint, shingles array<bigint>").filter("key = own")
     sets = cut_lineage(sets.dropDuplicates(["key"]))
     edges = cut_lineage(confirmed(pairs))
@@ -423,5 +425,5 @@ def distinct(df: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: s
         if pairs.isEmpty():
             break
         edges = cut_lineage(edges.union(confirmed(pairs)))
-    first = labels_of(nodes, edges).groupBy("label").agg(F.min("id").alias("__first")).select("__first")
-    return df.join(first, F.col(id_col) == F.col("__first"), "left_semi").dropDuplicates([id_col])
+    kept = labels_of(nodes, edges).groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__first"))
+    return df.withColumn("__row", row).join(kept, F.col("__row") == F.col("__first"), "left_semi").dropDuplicates(["__row"]).drop("__row")
