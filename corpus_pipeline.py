@@ -1,7 +1,8 @@
 """Documents to packed training sequences.
 
 `STAGES` in order: toxic documents go, repetitive and very short ones go, one document of each
-group of near copies stays, passages that an earlier document holds go, and the rest is packed.
+group of near copies stays, passages that an earlier document holds go, and the rest is packed,
+with the token ids of each piece.
 Each stage works on the rows that the one before wrote; all but the last return the columns of
 `documents`. Columns beyond these pass through.
 """
@@ -40,7 +41,7 @@ def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tokenizer = packing.file_tokenizer(public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return packing.pack(docs, tokenizer, keep_ids=False)
+    return packing.pack(docs, tokenizer)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from turnwise.llm import anchors, automaton, covering, hilbert, licenses, queries, suffix_sort
+from turnwise.llm.common import documents
 
 
 def patchwork(seed, symbols, glue):
@@ -321,3 +322,12 @@ def test_pipeline_stages_hold_together(spark, sf, odd_docs):
     nothing = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, sf).count() == 0, name
+
+
+def test_pipeline_writes_the_packed_ids(spark, sf):
+    import zlib
+
+    stage = dict(corpus_pipeline.STAGES)["packing"]
+    rows = stage(spark, documents(spark, sf).limit(50), sf).toPandas()
+    assert len(rows) and [len(x) for x in rows.ids] == (4 * rows.length).tolist()
+    assert [zlib.crc32(x) for x in rows.ids] == rows.ids_crc32.tolist()
