@@ -165,6 +165,14 @@ def test_filter_classes():
     assert bloom_lm.build_segment(keys, counts, 1 << 12, s)[1] > 1
 
 
+def test_language_model_is_the_same_past_the_broadcast(docs):
+    train = F.col("doc_id") % 5 != 1
+    want = bloom_lm.score(docs, train).toPandas().sort_values("doc_id")
+    got = bloom_lm.score(docs, train, bloom_lm.FilterSettings(most_bits=1 << 14)).toPandas().sort_values("doc_id")
+    assert got.doc_id.tolist() == want.doc_id.tolist() and (got.n_tokens > 1).any()
+    assert np.allclose(got.score, want.score, rtol=1e-12) and np.allclose(got.base_score, want.base_score, rtol=1e-12)
+
+
 def test_language_model_edges(odd_docs, empty_docs):
     rows = bloom_lm.score(odd_docs, F.col("doc_id") < 5).toPandas()
     assert len(rows) == odd_docs.count() and np.isfinite(rows.score).all()

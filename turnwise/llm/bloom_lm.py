@@ -2,9 +2,9 @@
 
 Counts of word pairs over all training rows are quantised to powers of two and kept in a Bloom
 filter: a pair of class q is entered with the numbers 1 to q, and its class is read by probing
-for 1, 2, ... until one is missing. A pair costs a few bits, whatever its words. The filter is
-broadcast; its size follows the corpus up to `most_bits` and stays there: then the least count
-that is told from none rises, so that each entry keeps `least_bits` bits.
+for 1, 2, ... until one is missing. A pair costs a few bits, whatever its words. The size of the
+filter follows the corpus. It is broadcast up to `most_bits`; a larger one stays in its hash
+segments, to which each block of text sends its distinct pairs and gets their classes back.
 
 Exact counts of single words don't fit a broadcast. Rows are dealt into blocks of text; the
 distinct words of each block are sent to the segments of the hash space that add up their
@@ -203,8 +203,9 @@ def score(
     all_tokens, distinct, ends = (x or 0 for x in sums.filter("block IS NULL").agg(F.sum("n"), F.sum("v"), F.sum("docs")).first())
 
     bits = 1 << 10
-    while bits * segments < min(s.most_bits, all_tokens * s.bits_per_entry):
+    while bits * segments < all_tokens * s.bits_per_entry:
         bits *= 2
+    routed = bits * segments > s.most_bits
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -231,26 +232,77 @@ def score(
         counts = np.concatenate([np.frombuffer(c, np.uint32) for c in table.column("counts").to_pylist()]).astype(np.int64)
         keys, counts = _summed(keys, counts)
         content, least = build_segment(keys.astype(np.uint64), counts, bits, s)
+        while routed and least > 1:
+            content, least = build_segment(keys.astype(np.uint64), counts, 16 * len(content), s)
         return pa.table({"segment": table.column("segment")[:1], "content": [content.tobytes()], "least": [least], "once": [int((counts == 1).sum())], "pairs": [int(counts.sum())]})
 
     learned = rows.filter("train").select("text").mapInArrow(counted, "segment bigint, keys binary, counts binary")
     built = learned.groupBy("segment").applyInArrow(filtered, "segment bigint, content binary, least bigint, once bigint, pairs bigint")
-    filters = np.zeros((segments, bits // 8), np.uint8)
+    filters = np.zeros((0 if routed else segments, bits // 8), np.uint8)
     least = np.ones(segments, np.int64)
-    once = pairs = 0
-    for row in built.collect():  # `most_bits` bits at most
-        filters[row["segment"]] = np.frombuffer(row["content"], np.uint8)
-        least[row["segment"]] = row["least"]
-        once, pairs = once + row["once"], pairs + row["pairs"]
+    if routed:
+        built = cut_lineage(built)
+        once, pairs = (x or 0 for x in built.agg(F.sum("once"), F.sum("pairs")).first())
+    else:
+        once = pairs = 0
+        for row in built.collect():  # `most_bits` bits at most
+            filters[row["segment"]] = np.frombuffer(row["content"], np.uint8)
+            least[row["segment"]] = row["least"]
+            once, pairs = once + row["once"], pairs + row["pairs"]
     unseen = min(max(once / pairs, 0.05), 0.95) if pairs else 1.0
     sent = df.sparkSession.sparkContext.broadcast((filters.tobytes(), least))
     norm = all_tokens + 0.5 * (distinct + 1)
 
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct pairs of the blocks, by segment."""
+        held: dict[int, list] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            got = []
+            for block, parts in held.items():
+                keys = np.unique(np.concatenate(parts))
+                got += [(seg, block, low) for seg, (_, low) in by_segment(keys, (keys >> np.uint64(16)).astype(np.uint32))]
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate(kinds)], ["segment", "block", "keys"])
+
+        for batch in batches:
+            for part, texts in text_chunks(batch, "text", CHUNK):
+                blocks = part.column("block").to_numpy(zero_copy_only=False)
+                for block in np.unique(blocks).tolist():
+                    held.setdefault(block, []).append(np.unique(pair_keys(*tokens([texts[i] for i in np.flatnonzero(blocks == block)]))))
+                    size += len(held[block][-1])
+            if size > HELD_TOKENS:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
+
+    def answered(asks: pa.Table, built: pa.Table) -> pa.Table:
+        """Pairs with an entry and their classes, as the words and totals of a block."""
+        out: list[list] = [[], [], []]
+        for content in built.column("content").to_pylist():
+            filters = np.frombuffer(content, np.uint8)[None, :]
+            for seg, block, keys in zip(*(asks.column(c).to_pylist() for c in ("segment", "block", "keys")), strict=True):
+                low = np.frombuffer(keys, np.uint32).astype(np.uint64)
+                q = classes(filters, np.zeros(len(low), np.int64), low, s.probes)
+                for col, v in zip(out, (block, (np.uint64(seg << 32) | low[q > 0]).tobytes(), q[q > 0].astype(np.uint8).tobytes()), strict=True):
+                    col.append(v)
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "keys", "classes"), out, (pa.int64(), pa.binary(), pa.binary()), strict=True)})
+
+    def joined(parts: list[bytes | None], kind: type) -> np.ndarray:
+        return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in parts if x is not None)])
+
     def scored(docs: pa.Table, words: pa.Table) -> pa.Table:
         content, floors = sent.value
-        filters = np.frombuffer(content, np.uint8).reshape(segments, -1)
-        known = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(k, np.uint64) for k in words.column("keys").to_pylist())])
-        totals = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(k, np.int64) for k in words.column("totals").to_pylist())])
+        filters = np.frombuffer(content, np.uint8).reshape(-1, bits // 8)
+        paired = words.filter(words.column("classes").is_valid())
+        words = words.filter(words.column("classes").is_null())
+        known, totals = joined(words.column("keys").to_pylist(), np.uint64), joined(words.column("totals").to_pylist(), np.int64)
+        pair_ids, pair_classes = joined(paired.column("keys").to_pylist(), np.uint64), joined(paired.column("classes").to_pylist(), np.uint8)
+        by_id = np.argsort(pair_ids)
+        pair_ids, pair_classes = np.r_[pair_ids[by_id], np.uint64(2**64 - 1)], np.r_[pair_classes[by_id], np.uint8(0)]
         order = np.argsort(known)
         known, totals = known[order], totals[order]
         out = []
@@ -262,7 +314,12 @@ def score(
                 keys = pair_keys(hashes, ids, sizes)
                 seg = (keys >> shift).astype(np.int64)
                 low = ((keys >> np.uint64(16)) & np.uint64(0xFFFFFFFF))
-                q = classes(filters, seg, low, s.probes)
+                if routed:
+                    sought = keys >> shift << np.uint64(32) | low
+                    at = np.searchsorted(pair_ids, sought)
+                    q = np.where(pair_ids[at] == sought, pair_classes[at], 0).astype(np.int64)
+                else:
+                    q = classes(filters, seg, low, s.probes)
                 starts = np.cumsum(sizes) - sizes
                 history = np.r_[0, c[:-1]]
                 history[starts] = ends
@@ -275,7 +332,11 @@ def score(
         return pa.Table.from_batches(out)
 
     kind = df.schema[id_col].dataType.simpleString()
-    right = sums.filter("block IS NOT NULL").select("block", "keys", "totals")
+    right = sums.filter("block IS NOT NULL").select("block", "keys", "totals", F.lit(None).cast("binary").alias("classes"))
+    if routed:
+        asks = rows.select("text", "block").mapInArrow(asked, "segment bigint, block bigint, keys binary")
+        answers = asks.groupBy("segment").cogroup(built.select("segment", "content").groupBy("segment")).applyInArrow(answered, "block bigint, keys binary, classes binary")
+        right = right.unionByName(answers.withColumn("totals", F.lit(None).cast("binary")))
     return (
         rows.drop("train")
         .groupBy("block")
