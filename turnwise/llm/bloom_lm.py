@@ -3,7 +3,7 @@
 Counts of word pairs over all training rows are quantised to powers of two and kept in a Bloom
 filter: a pair of class q is entered with the numbers 1 to q, and its class is read by probing
 for 1, 2, ... until one is missing. A pair costs a few bits, whatever its words. The size of the
-filter follows the corpus. It is broadcast up to `most_bits`; a larger one stays in its hash
+filter follows the corpus. It is broadcast while `most_bits` give each entry `least_bits`; a larger one stays in its hash
 segments, to which each block of text sends its distinct pairs and gets their classes back.
 
 Exact counts of single words don't fit a broadcast. Rows are dealt into blocks of text; the
@@ -203,9 +203,9 @@ def score(
     all_tokens, distinct, ends = (x or 0 for x in sums.filter("block IS NULL").agg(F.sum("n"), F.sum("v"), F.sum("docs")).first())
 
     bits = 1 << 10
-    while bits * segments < all_tokens * s.bits_per_entry:
+    while bits * segments < min(s.most_bits, all_tokens * s.bits_per_entry):
         bits *= 2
-    routed = bits * segments > s.most_bits
+    routed = False
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -238,17 +238,18 @@ def score(
 
     learned = rows.filter("train").select("text").mapInArrow(counted, "segment bigint, keys binary, counts binary")
     built = learned.groupBy("segment").applyInArrow(filtered, "segment bigint, content binary, least bigint, once bigint, pairs bigint")
-    filters = np.zeros((0 if routed else segments, bits // 8), np.uint8)
+    filters = np.zeros((segments, bits // 8), np.uint8)
     least = np.ones(segments, np.int64)
-    if routed:
-        built = cut_lineage(built)
-        once, pairs = (x or 0 for x in built.agg(F.sum("once"), F.sum("pairs")).first())
-    else:
-        once = pairs = 0
-        for row in built.collect():  # `most_bits` bits at most
-            filters[row["segment"]] = np.frombuffer(row["content"], np.uint8)
-            least[row["segment"]] = row["least"]
-            once, pairs = once + row["once"], pairs + row["pairs"]
+    once = pairs = 0
+    for row in built.collect():  # `most_bits` bits at most
+        filters[row["segment"]] = np.frombuffer(row["content"], np.uint8)
+        least[row["segment"]] = row["least"]
+        once, pairs = once + row["once"], pairs + row["pairs"]
+    if (least > 1).any():  # too small for all pairs: built again at full size, and not broadcast
+        routed, filters, least = True, filters[:0], np.ones_like(least)
+        while bits * segments < all_tokens * s.bits_per_entry:
+            bits *= 2
+        built = cut_lineage(learned.groupBy("segment").applyInArrow(filtered, "segment bigint, content binary, least bigint, once bigint, pairs bigint"))
     unseen = min(max(once / pairs, 0.05), 0.95) if pairs else 1.0
     sent = df.sparkSession.sparkContext.broadcast((filters.tobytes(), least))
     norm = all_tokens + 0.5 * (distinct + 1)
