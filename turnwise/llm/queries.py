@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
-from turnwise.llm import automaton, bloom_lm, covering, hilbert, licenses, packing, pieces, repetition, suffix_sort, toxicity
-from turnwise.llm.common import documents, fold
+from turnwise.llm import (
+    automaton,
+    bloom_lm,
+    covering,
+    hilbert,
+    licenses,
+    packing,
+    periods,
+    pieces,
+    repetition,
+    suffix_sort,
+    toxicity,
+)
+from turnwise.llm.common import documents, fold, text_chunks, words
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -197,3 +212,46 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash_covering")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covering.near_duplicates(documents(spark, sf_dir))
+
+
+def with_planted_periods(df: DataFrame) -> DataFrame:
+    """Rows of (doc_id, text) in which a tenth of the texts repeat some words to their end, as op12's contract has it."""
+
+    def planted(doc_id: int, text: str | None) -> str | None:
+        h = zlib.crc32(str(doc_id).encode())
+        if doc_id is None or h % 10:
+            return text
+        ws, g = words(text), h // 10
+        if not ws:
+            return text
+        a = g % len(ws)
+        p = 1 + (len(ws) - a) // (3 + g % 8)
+        return b" ".join(ws[:a] + (ws[a : a + p] * (len(ws) // p + 1))[: len(ws) - a]).decode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in text_chunks(batch, "text"):
+                ids = rows.column("doc_id")
+                new = [planted(i, t) for i, t in zip(ids.to_pylist(), texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(new, pa.string())], ["doc_id", "text"])
+
+    kind = df.schema["doc_id"].dataType.simpleString()
+    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string")
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(with_planted_periods(documents(spark, sf_dir)))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("less"), r.start.alias("start"), r.period.alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")))
+    text = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.less")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("-1000 * best.less div best.period").alias("exponent_milli"),
+        F.sha2(text.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
