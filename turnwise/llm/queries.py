@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.llm import (
+    alignment,
     automaton,
     bloom_lm,
     covering,
@@ -255,3 +256,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(text.cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query("op11_tokenizer_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    found = alignment.align(documents(spark, sf_dir), *paths, digests=True)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
