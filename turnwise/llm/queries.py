@@ -18,6 +18,7 @@ from turnwise.llm import (
     hilbert,
     licenses,
     packing,
+    parity,
     periods,
     pieces,
     repetition,
@@ -263,3 +264,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
     found = alignment.align(documents(spark, sf_dir), *paths, digests=True)
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+@query("op13_parity_join")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = parity.similarity_join(documents(spark, sf_dir))
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
