@@ -97,11 +97,20 @@ def test_folds_equal_sequential(spark, seed):
     assert {r.log_id: r.args_hashed_retry_loops for r in loops.collect()} == want
 
 
-def test_bins_stay_bounded_on_a_hot_session(spark):
-    data = [(0, 7, i) for i in range(500)] + [(1, i, i) for i in range(20)]
-    df = spark.createDataFrame(data, "log_id int, ts long, id long")
-    sizes = blocks.binned(df, "log_id", ["ts", "id"], max_rows=50).groupBy("log_id", "_b1", "_b2").count()
-    assert sizes.agg(F.max("count")).first()[0] <= 50
+SPREADS = {
+    "shared prefix": "concat('/home/u/logs/', lpad(id, 9, '0'))",
+    "exponential": "pow(2.0D, id * 60 / 4000)",
+    "ties": "id div 1300",
+    "struct": "named_struct('a', 7, 'b', id)",
+}
+
+
+@pytest.mark.parametrize("kind", SPREADS)
+def test_parts_of_a_hot_session_stay_bounded(spark, kind):
+    df = spark.range(4000).selectExpr("0 AS log_id", "id", f"{SPREADS[kind]} AS o")
+    parts = blocks.spread(df, "log_id", ["o", "id"], 4000 * 2 // 100)
+    sizes = [r["count"] for r in parts.groupBy("_part").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 4 * 100
 
 
 KINDS = {
@@ -122,8 +131,17 @@ def test_positions_for_any_order_type(spark, kind):
     assert got.count() == 400 and got.filter("pos <> want").count() == 0
 
 
-def test_building_a_plan_starts_no_job(spark):
+def test_input_is_read_once_in_full(spark):
+    """The rows come from the written result; of the input, sizes read the session key alone."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
     df = spark.range(1000).selectExpr("id % 2 AS log_id", "id AS ts", "id")
-    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
-    blocks.dense_position(df, "log_id", ["ts", "id"])
-    assert set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+    got = blocks.dense_position(df.mapInArrow(counted, df.schema), "log_id", ["ts", "id"])
+    read = seen.value
+    assert got.filter("pos = 3").count() == 2 and got.count() == 1000
+    assert seen.value == read <= 2000

@@ -190,8 +190,8 @@ def _(spark, sf):
 
 @query("w03_retry_depth_small_blocks", f"WITH {T}, {RETRY} SELECT log_id, CAST(retry_depth_max AS BIGINT) AS retry_depth_max FROM retry")
 def _(spark, sf):
-    """The same fold with blocks of 7 turns and bins of 20 rows, as a very long session has."""
-    turns = Ad.turns_from_events(Ad.table(spark, sf, "events"), max_rows=20)
+    """The same fold with blocks of 7 turns and sessions above 80 rows numbered in ranges, as a very long session has."""
+    turns = Ad.turns_from_events(Ad.table(spark, sf, "events"), max_rows=80)
     return Se.retry_depth(turns, rows_per_block=7)
 
 

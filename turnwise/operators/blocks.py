@@ -9,84 +9,42 @@ equal the plain window.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.types import DataType
+
+from turnwise.session import cut_lineage
 
 ROWS_PER_BLOCK = 65_536
-ROWS_PER_BIN = 250_000
+#: Sessions above this are numbered in several tasks.
+ROWS_PER_PART = 250_000
 
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def along(name: str, kind: DataType) -> Column:
-    """A double that does not decrease along the order of a column of any orderable type; NULL for NULL.
-
-    Texts and binaries count by their first six bytes, structs by their first field.
-    """
-    value = F.col(name)
-    while isinstance(kind, T.StructType):
-        value, kind = value.getField(kind[0].name), kind[0].dataType
-    if isinstance(kind, T.TimestampType | T.TimestampNTZType):
-        return micros(value).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(value).cast("double")
-    if isinstance(kind, T.BooleanType):
-        return value.cast("int").cast("double")
-    if isinstance(kind, T.StringType | T.BinaryType | T.VarcharType | T.CharType):
-        head = F.rpad(F.hex(F.substring(value.cast("binary"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    if isinstance(kind, T.NumericType):
-        return value.cast("double")
-    return F.lit(None).cast("double")  # other types are not cut
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    return reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)])
 
 
-def _bin(value: Column, low: Column, high: Column, bins: Column) -> Column:
-    """Bins of equal width between two finite values; NULL first, NaN and infinity last."""
-    at = F.floor((value - low) / F.nullif(high - low, F.lit(0.0)) * bins).cast("double")
-    at = F.when(F.isnan(value) | (value == float("inf")), bins + 1).otherwise(F.least(F.coalesce(at, F.lit(0.0)), bins))
-    return F.when(value.isNull() | (value == float("-inf")), -1.0).otherwise(at)
+def large_sessions(df: DataFrame, session: str, max_rows: int = ROWS_PER_PART) -> DataFrame:
+    """(`_k`, `_n`): sessions above `max_rows` rows and their sizes, written once."""
+    sizes = df.groupBy(F.col(session).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    return cut_lineage(sizes.filter(F.col("_n") > max_rows))
 
 
-def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, max_rows: int) -> DataFrame:
-    """Add a bin for each row: groups of `keys` above `max_rows` are cut along the first order column.
+def spread(df: DataFrame, session: str, order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """Rows in `parts` ranges (as many as the session's shuffles have, if not given) of (session, order), sorted, with their place `_at` and range `_part`.
 
-    Where all rows of a group tie on it, along the second one.
+    The splitters are quantiles of a sample of the real order columns, drawn by the range
+    exchange, so any orderable type and any spread of values gives ranges of about the same size; only
+    rows that tie on all columns stay together. `_at` counts up inside a range.
     """
-    values = [along(name, df.schema[name].dataType) for name in order[:2]]
-    own = [f"_k{i}" for i in range(len(keys))]
-    stats = [F.count(F.lit(1)).alias("_size"), ((F.min(order[0]) == F.max(order[0])) & (F.count(order[0]) == F.count(F.lit(1)))).alias("_tied")]
-    for i, v in enumerate(values):
-        finite = F.when(F.abs(v) < float("inf"), v)
-        stats += [F.min(finite).alias(f"_low{i}"), F.max(finite).alias(f"_high{i}")]
-    groups = df.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own)]).agg(*stats)
-    # Twice as many as an even spread needs.
-    bins = F.ceil(F.col("_size") * 2 / max_rows).cast("double")
-    cuts = [_bin(v, F.col(f"_low{i}"), F.col(f"_high{i}"), bins) for i, v in enumerate(values)]
-    at = F.when(F.coalesce("_tied", F.lit(False)), cuts[1] if len(cuts) > 1 else F.lit(0.0)).otherwise(cuts[0])
-    at = F.when(F.col("_size") > max_rows, at).otherwise(0.0).cast("long")
-    joined = df.join(groups, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own)])
-    return joined.withColumn(out, at).drop("_size", "_tied", *own, *[f"_{e}{i}" for e in ("low", "high") for i in range(len(values))])
-
-
-def binned(
-    df: DataFrame,
-    session: str,
-    order: Sequence[str],
-    max_rows: int = ROWS_PER_BIN,
-) -> DataFrame:
-    """Add `_b1` and `_b2`, which cut every session into runs along `order`.
-
-    Sessions above `max_rows` rows are cut along the first order column, bins that are still
-    above it once more, or along the second column where the first ties. Columns may
-    have any orderable type. No job runs here.
-    """
-    once = _cut(df, [session], order, "_b1", max_rows)
-    return _cut(once, [session, "_b1"], order, "_b2", max_rows)
+    ranged = df.repartitionByRange(*([parts] if parts else []), session, *order).sortWithinPartitions(session, *order)
+    placed = cut_lineage(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    return placed.withColumn("_part", F.shiftright("_at", 33))
 
 
 def dense_position(
@@ -94,23 +52,33 @@ def dense_position(
     session: str,
     order: Sequence[str],
     out: str = "pos",
-    max_rows: int = ROWS_PER_BIN,
+    max_rows: int = ROWS_PER_PART,
 ) -> DataFrame:
-    """Number the rows of each session 0, 1, 2, … in `order`."""
-    rows = binned(df, session, order, max_rows)
-    key = [session, "_b1", "_b2"]
-    before = Window.partitionBy("_k0").orderBy("_k1", "_k2").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = offsets.withColumn("_skip", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(*key).orderBy(*order)
-    return (
-        rows.withColumn("_rn", F.row_number().over(inside) - F.lit(1))
-        .join(offsets, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)])
-        .withColumn(out, (F.col("_rn") + F.col("_skip")).cast("long"))
-        .drop("_b1", "_b2", "_rn", "_skip", "_k0", "_k1", "_k2")
+    """Number the rows of each session 0, 1, 2, … in `order`; the result is written once.
+
+    Two passes over the input: one counts the rows of sessions and reads nothing but
+    their key, one numbers. Sessions up to `max_rows` rows are numbered in one task each.
+    Larger ones are cut at sampled splitters and numbered per range; the rows of ranges before
+    are added from one small row for each session and range. For these the input is
+    written first, so that the sample reads the written rows.
+    """
+    plain = Window.partitionBy(session).orderBy(*order)
+    number = (F.row_number().over(plain) - F.lit(1)).cast("long")
+    large = large_sessions(df, session, max_rows)
+    total = large.agg(F.sum(F.ceil(F.col("_n") * 2 / max_rows)).alias("parts")).first()["parts"]
+    if not total:
+        return cut_lineage(df.withColumn(out, number))
+    rows, big = cut_lineage(df), large.select("_k")
+    small = rows.join(big, _same([session], ["_k"]), "left_anti").withColumn(out, number)
+    placed = spread(rows.join(big, _same([session], ["_k"]), "left_semi"), session, order, int(total))
+    runs = placed.groupBy(F.col(session).alias("_k"), F.col("_part").alias("_p")).agg(
+        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
+    before = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_skip", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
+    big_rows = placed.join(runs, _same([session, "_part"], ["_k", "_p"]))
+    big_rows = big_rows.withColumn(out, F.col("_at") + F.col("_skip"))
+    return cut_lineage(small.unionByName(big_rows.select(*small.columns)))
 
 
 def _block(pos: str, rows_per_block: int) -> Column:
