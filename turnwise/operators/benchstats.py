@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.operators import blocks
@@ -56,18 +56,30 @@ def delta_stats(deltas: DataFrame, *by: str, value: str = "delta") -> DataFrame:
 
 
 def exact_median(rows: DataFrame, *by: str, value: str) -> DataFrame:
-    """Median from the one or two middle positions.
+    """Median from the one or two middle positions, by weighted selection.
 
-    Positions come from the block-wise numbering, so a group of any size is ordered in
-    bounded pieces instead of in one buffer.
+    Equal values of a group become one row with their count before anything is ordered. These
+    rows lie in ranges of (group, value); sums of counts per range tell which range holds a
+    middle position, and only that range is summed up value by value. No task orders a group.
     """
     keyed = rows.select(F.struct(*by).alias("_g"), F.col(value).alias("_v"))
-    placed = blocks.dense_position(keyed, "_g", ["_v"])
-    sizes = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    low = F.floor((F.col("_n") - 1) / 2)
-    high = F.floor(F.col("_n") / 2)
-    middle = placed.join(sizes, "_g").filter((F.col("pos") == low) | (F.col("pos") == high))
-    return middle.groupBy("_g").agg(F.avg("_v").alias("median")).select("_g.*", "median")
+    counts = keyed.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    placed = blocks.spread(counts, "_g", ["_v"]).drop("_at")
+    before = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("_n").over(Window.partitionBy("_g"))
+    ranges = placed.groupBy("_g", "_part").agg(F.sum("_c").alias("_n")).withColumns(
+        {
+            "_skip": F.coalesce(F.sum("_n").over(before), F.lit(0)),
+            "_low": F.floor((total - 1) / 2),
+            "_high": F.floor(total / 2),
+        }
+    )
+    middle = ranges.filter("_skip <= _high AND _low < _skip + _n").select("_g", "_part", "_skip", "_low", "_high")
+    inside = Window.partitionBy("_g", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    up_to = F.col("_skip") + F.sum("_c").over(inside)
+    held = placed.join(middle, ["_g", "_part"]).withColumn("_end", up_to)
+    held = held.filter("_end - _c <= _high AND _low < _end")
+    return held.groupBy("_g").agg(((F.min("_v") + F.max("_v")) / 2).alias("median")).select("_g.*", "median")
 
 
 def quality_gate(runs: DataFrame, *by: str) -> DataFrame:
