@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from turnwise.catalog import query
-from turnwise.catalog.scalars import MENTIONED, match_sql, mentioned, q
+from turnwise.catalog.scalars import MENTIONED, match_sql, mentioned, q, scrub_sql
 from turnwise.catalog.sessions import CALLS as RETRY_CALLS
 from turnwise.catalog.sessions import LOOPS as RETRY_LOOPS
 from turnwise.catalog.sessions import SEG as RETRY_SEG
@@ -33,7 +33,7 @@ from turnwise.registry import detectors as D
 from turnwise.registry import signatures as S
 from turnwise.registry import tools as Tl
 from turnwise.session import cut_lineage, ensure_checkpoint_dir
-from turnwise.sources import bundles, feeds
+from turnwise.sources import bundles, feeds, splits
 from turnwise.sources import logs as L
 from turnwise.streaming import jobs as St
 
@@ -62,6 +62,39 @@ def _(spark, sf):
     return N.lines_of(logs).select("log_id", "turn", F.sha2("raw", 256).alias("line_hash"))
 
 
+def split_logs(spark, sf):
+    """Scrubbed pieces of one log for each source: its documents one after the other, written as text and read in ranges."""
+    folder = scratch(spark, "split-logs")
+    docs = Ad.table(spark, sf, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ordered = docs.repartition("source").sortWithinPartitions("source", "doc_id")
+    ordered.select("source", "text").write.partitionBy("source").text(folder)
+    return splits.scrubbed_pieces(splits.log_lines(spark, folder), 1 << 16)
+
+
+def source_of_log():
+    return F.regexp_extract("log", "source=([^/]*)/", 1).alias("source")
+
+
+SPLIT = scrub_sql("(SELECT source, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source)", "source", "text")
+
+
+@query(
+    "s01_split_lines",
+    SPLIT + f"SELECT source, row_number() OVER (PARTITION BY source ORDER BY i) AS turn, sha256(line) AS line_hash FROM (SELECT source, unnest(range(len(l))) AS i, unnest(l) AS line FROM (SELECT source, list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, {TRIM}, '', 'g')) AS l FROM scrubbed)) WHERE line <> ''",
+)
+def _(spark, sf):
+    lines = splits.numbered_lines(split_logs(spark, sf))
+    return lines.select(source_of_log(), "turn", F.sha2("raw", 256).alias("line_hash"))
+
+
+@query(
+    "p01_split_redactions",
+    SPLIT + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT source, '{f}' AS family, CAST({f} AS BIGINT) AS n FROM scrubbed" for f, _ in X.SECRET_RULES) + ") WHERE n > 0",
+)
+def _(spark, sf):
+    return splits.redactions(split_logs(spark, sf)).select(source_of_log(), "family", F.col("count").alias("n"))
+
+
 @query("s02_prefixed_json", "SELECT CASE WHEN event_id % 2 = 0 THEN props ELSE '2024 [info] ' || props END AS event_raw, event_id FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT props, event_id FROM events WHERE event_id % 3 = 0")
 def _(spark, sf):
     e = F.col("event_id")
