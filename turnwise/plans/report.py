@@ -172,7 +172,8 @@ def retained(a: Analysis, report: Report, version: str, sizes: DataFrame, parser
     ecosystem = F.struct(
         *labels,
         *[v.alias(k) for k, v in ids.items()],
-        whole("unknown_mcp_server_count").alias("unknown_mcp_server_count"), F.lit(0).alias("unknown_skill_count"), F.lit(0).alias("unknown_plugin_count"),
+        whole("unknown_mcp_server_count").alias("unknown_mcp_server_count"), whole("unknown_executed").alias("unknown_skill_count"),
+        F.lit(0).alias("unknown_plugin_count"),  # no line names a plugin that no list knows
         F.coalesce("workflow_fingerprints", F.array()).alias("workflow_fingerprints"),
         F.struct(mcp.alias("mcp"), skill.alias("skill")).alias("tooling_utilization"),
     )
