@@ -14,8 +14,8 @@ theirs, and get its count back.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnwise.llm.common import WordTable, ranges, text_chunks
+from turnwise.llm.common import ranges, text_chunks
 from turnwise.llm.pieces import MARK, PieceModel
 from turnwise.session import cut_lineage, ensure_checkpoint_dir
 
@@ -36,71 +36,74 @@ TABLE_IDS = 4 << 20
 #: Bytes of text in a block of documents.
 BLOCK_BYTES = 4 << 20
 
-_pieces = re.compile(r"(?<=\S)(?= )").split
-_spaces = re.compile(r"\s ").search
-
-
-def spaced(text: str) -> list[str]:
-    """Parts of space and text, without the space each of them begins with, that no pre-token spans.
-
-    A cut is before each space that follows no white space.
-    """
-    if text[0] != " " and not _spaces(text):
-        return text.split(" ")
-    return [w[1:] for w in _pieces(" " + text)]
+#: Pre-tokens of byte-level BPE files.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Longer runs without white space are encoded by the tokenizer file's own library.
+LONG_RUN = 2000
 
 
 class Side:
-    """Token bytes of a vocabulary, flat, and ids of lists of words."""
+    """Token bytes of a vocabulary, flat."""
 
-    def __init__(self, tokens: list[bytes], table: WordTable):
+    def __init__(self, tokens: list[bytes]):
         self.flat = np.frombuffer(b"".join(tokens), np.uint8)
         self.length = np.array([len(t) for t in tokens], np.int64)
         self.start = np.cumsum(self.length) - self.length
-        self.size, self.table = len(tokens), table
+        self.size = len(tokens)
         self.text = np.array([f"{i}{end}" for end in (",", "|", ";") for i in range(self.size)], object)
 
-    def ids(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.table.flat) > TABLE_IDS:
-            self.table.clear()
-        return self.table.ids(lists)
-
     def joined(self, ids: np.ndarray) -> bytes:
         return self.flat[ranges(self.start[ids], self.length[ids])].tobytes()
 
 
-def _byte_side(path: str) -> Side:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
-    # the printable bytes stand for themselves, the others for the characters from 256 on
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    byte_of = {chr(b): b for b in shown}
-    byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
-    tokens = [b""] * (max(vocabulary.values()) + 1)
-    for token, i in vocabulary.items():
-        tokens[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-
-    def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in tokenizer.encode_batch_fast([" " + w for w in new], add_special_tokens=False)]
-        return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
-
-    return Side(tokens, WordTable(encode))
+class ByteModel:
+    """A byte-level BPE file. Where its merges are in the order of its ids, ids are ranks and
+    texts are encoded by rank, with the same result as the file's library."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        # the printable bytes stand for themselves, the others for the characters from 256 on
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        byte_of = {chr(b): b for b in shown}
+        byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+        spelled = {t: bytes(byte_of[c] for c in t) for t in vocabulary if all(c in byte_of for c in t)}
+        self.tokens = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            self.tokens[i] = spelled.get(token, token.encode())
+        with open(path, encoding="utf-8") as f:
+            content = json.load(f)
+        merges = [m.split(" ") if isinstance(m, str) else m for m in content["model"]["merges"]]
+        pre, norm = content["pre_tokenizer"], content["normalizer"]
+        plain = norm is None and pre["type"] == "ByteLevel" and not pre["add_prefix_space"] and pre.get("use_regex", True)
+        self.by_rank = None
+        if plain and all(vocabulary.get(a + b) == 256 + k for k, (a, b) in enumerate(merges)):
+            import tiktoken
+
+            ranks = {self.tokens[i]: i for i in range(256 + len(merges))}
+            self.by_rank = tiktoken.Encoding("ranks", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.by_rank is None or (len(text) > LONG_RUN and max(map(len, text.split()), default=0) > LONG_RUN):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+        return np.array(self.by_rank.encode_ordinary(text), np.int32)
 
 
 class Aligner:
     """Both tokenizers, and `same`: for each id of A the id of B with the same bytes (-1: none)."""
 
     def __init__(self, byte_path: str, piece_path: str):
-        self.a = _byte_side(byte_path)
+        self.bytes = ByteModel(byte_path)
+        self.a = Side(self.bytes.tokens)
         self.model = PieceModel(piece_path)
         if not self.model.prefix:
             raise ValueError("a piece model that adds a space is needed")
         surface = self.model.surface
-        self.b = Side(surface, self.model.table)
+        self.b = Side(surface)
         by_bytes: dict[bytes, int] = {}
         for i, s in enumerate(surface):
             if s and i != self.model.unk and (s not in by_bytes or len(s) > 1):
@@ -114,8 +117,11 @@ class Aligner:
 
     def chunk(self, texts: list[str | None]) -> Aligned:
         raw = [(" " + t).encode() if t else b"" for t in texts]
-        ids_a, n_a = self.a.ids([spaced(t) if t else [] for t in texts])
-        ids_b, n_b = self.b.ids([self.model.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts])
+        parts = [self.bytes.encode(" " + t) if t else np.zeros(0, np.int32) for t in texts]
+        ids_a, n_a = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        if len(self.model.table.flat) > TABLE_IDS:
+            self.model.table.clear()
+        ids_b, n_b = self.model.table.ids([self.model.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts])
         whole = b"".join(raw)
         sides = []
         for side, ids, counts in ((self.a, ids_a, n_a), (self.b, ids_b, n_b)):
