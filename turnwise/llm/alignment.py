@@ -33,8 +33,10 @@ from turnwise.session import cut_lineage, ensure_checkpoint_dir
 
 #: Ids that a table of words holds before it is emptied.
 TABLE_IDS = 4 << 20
+#: Tokens whose bytes are put together at once.
+AT_ONCE = 1 << 16
 #: Bytes of text in a block of documents.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 19
 
 #: Pre-tokens of byte-level BPE files.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -53,7 +55,8 @@ class Side:
         self.text = np.array([f"{i}{end}" for end in (",", "|", ";") for i in range(self.size)], object)
 
     def joined(self, ids: np.ndarray) -> bytes:
-        return self.flat[ranges(self.start[ids], self.length[ids])].tobytes()
+        pieces = (ids[i : i + AT_ONCE] for i in range(0, len(ids), AT_ONCE))
+        return b"".join(self.flat[ranges(self.start[p], self.length[p])].tobytes() for p in pieces)
 
 
 class ByteModel:
