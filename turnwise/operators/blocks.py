@@ -67,7 +67,9 @@ def dense_position(
     large = large_sessions(df, session, max_rows)
     total = large.agg(F.sum(F.ceil(F.col("_n") * 2 / max_rows)).alias("parts")).first()["parts"]
     if not total:
-        return cut_lineage(df.withColumn(out, number))
+        # as many parts as a shuffle has: what is read from the result is often heavier than its bytes say
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return cut_lineage(df.repartition(parts, session).withColumn(out, number))
     rows, big = cut_lineage(df), large.select("_k")
     small = rows.join(big, _same([session], ["_k"]), "left_anti").withColumn(out, number)
     placed = spread(rows.join(big, _same([session], ["_k"]), "left_semi"), session, order, int(total))
