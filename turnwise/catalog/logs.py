@@ -15,7 +15,7 @@ from turnwise.catalog.sessions import CALLS as RETRY_CALLS
 from turnwise.catalog.sessions import LOOPS as RETRY_LOOPS
 from turnwise.catalog.sessions import SEG as RETRY_SEG
 from turnwise.catalog.sessions import T as RETRY_T
-from turnwise.catalog.sessions import ev_calls
+from turnwise.catalog.sessions import METRICS, ev_calls, ev_turns
 from turnwise.functions import json_nodes as J
 from turnwise.functions import text as X
 from turnwise.operators import fingerprints as Fp
@@ -35,6 +35,7 @@ from turnwise.registry import tools as Tl
 from turnwise.session import cut_lineage, ensure_checkpoint_dir
 from turnwise.sources import bundles, feeds, splits
 from turnwise.sources import logs as L
+from turnwise.streaming import growing
 from turnwise.streaming import jobs as St
 
 TRIM = "'^\\s+|\\s+$'"
@@ -805,15 +806,12 @@ def _(spark, sf):
     return St.parse_mail_events(mail_messages(spark, sf)).groupBy("reject", "type", "email_hash").agg(n_rows())
 
 
-def run_stream(spark, source, build, name: str):
-    """Write `source` as files, stream them through `build`, return the rows of all batches."""
+def stream_to(spark, stream, base: str):
+    """Run a stream to its end and return the rows of all batches, with their number as `_batch`."""
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
-    base = scratch(spark, name)
-    source.write.parquet(base + "/in")
-    stream = build(spark.readStream.schema(source.schema).parquet(base + "/in"))
     out = base + "/out"
 
     def sink(batch, batch_id):
@@ -824,6 +822,13 @@ def run_stream(spark, source, build, name: str):
     return spark.read.parquet(out)
 
 
+def run_stream(spark, source, build, name: str):
+    """Write `source` as files, stream them through `build`, return the rows of all batches."""
+    base = scratch(spark, name)
+    source.write.parquet(base + "/in")
+    return stream_to(spark, build(spark.readStream.schema(source.schema).parquet(base + "/in")), base)
+
+
 @query("t03_suppression_stream", f"WITH {MAILS} SELECT sha256('u' || user_id || '@x.example') AS email_hash, count(*) FILTER (type = 'bounce') AS bounce_count, count(*) FILTER (type = 'complaint') AS complaint_count, strftime(min(date_trunc('second', ts)), '%Y-%m-%d %H:%M:%S') AS suppressed_at FROM mails WHERE reject IS NULL AND type IN ('bounce', 'complaint') GROUP BY user_id")
 def _(spark, sf):
     rows = run_stream(spark, mail_messages(spark, sf), lambda s: St.suppression_stream(St.parse_mail_events(s), once=True), "t03")
@@ -874,6 +879,27 @@ def _(spark, sf):
     return spark.read.parquet(base + "/out").agg(F.sum("turns").alias("turns"))
 
 
+@query("t01_growing_sessions", f"WITH {METRICS} SELECT * FROM metrics")
+def _(spark, sf):
+    """Sessions in chunks of seven turns that arrive in three batches out of order; the last counters of each."""
+    turns = ev_turns(spark, sf)
+    chunk = F.floor(F.col("pos") / 7) * 7
+    size = F.count(F.lit(1)).alias("size")
+    sizes = turns.groupBy("log_id", chunk.alias("at")).agg(size)
+    read = F.when(F.col("event_type") == "view", F.array(F.concat(F.lit("file"), F.get_json_object("props", "$.k"))))
+    rows = turns.withColumn("at", chunk).join(sizes, ["log_id", "at"]).select(
+        F.col("log_id").cast("string").alias("log_id"), "at", (F.col("pos") - F.col("at")).alias("line"),
+        F.col("size").alias("lines"), "size", "tokens", "is_tool", "is_error", F.coalesce(read, F.array().cast("array<string>")).alias("files"),
+    )
+    base = scratch(spark, "t01-growing")
+    rows.repartition(3, F.hash("log_id", "at") % 3).write.parquet(base + "/in")
+    files = max(1, -(-len(spark.read.parquet(base + "/in").inputFiles()) // 3))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(base + "/in")
+    out = stream_to(spark, growing.growing_sessions(stream), base)
+    last = out.groupBy("log_id").agg(F.max_by(F.struct(*out.columns), "turns").alias("l")).select("l.*")
+    return last.select(F.col("log_id").cast(turns.schema["log_id"].dataType).alias("log_id"), *[c for c in last.columns if c not in ("log_id", "read_to", "waiting", "_batch")])
+
+
 # Whole reports of logs --------------------------------------------------------------------------
 
 
