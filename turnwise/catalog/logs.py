@@ -842,6 +842,32 @@ def _(spark, sf):
     return rows.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "dimension", "key").agg(F.max("count").alias("count"))
 
 
+LATE = """b AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
+ r AS (SELECT ts, event_id, CASE WHEN event_id % 10 = 0 THEN 2 ELSE least(2, (epoch_us(ts) - lo) * 3 // (hi - lo + 1)) END AS batch FROM events, b),
+ m AS (SELECT max(epoch_us(ts)) - 86400000000 AS mark FROM r WHERE batch < 2)"""
+
+
+@query("t04_late_rows", f"WITH {LATE} SELECT strftime(ts, '%Y-%m-%d') AS day, batch = 2 AND epoch_us(ts) < mark AS late, '/p/' || event_id % 9 AS path, count(*) AS count FROM r, m GROUP BY ALL")
+def _(spark, sf):
+    """Three batches in the order of time, but every tenth event comes with the last one."""
+    e, us = F.col("event_id"), F.unix_micros("timestamp")
+    path = F.concat(F.lit("/p/"), (e % 9).cast("string"))
+    rows = Ad.table(spark, sf, "events").select(e, F.col("ts").cast("timestamp").alias("timestamp"), path.alias("path"))
+    low, high = rows.agg(F.min(us), F.max(us)).first()
+    third = F.when(e % 10 == 0, 2).otherwise(F.least(F.lit(2), F.floor((us - low) * 3 / (high - low + 1))))
+    base = scratch(spark, "t04-late")
+    for k in range(3):
+        rows.filter(third == k).drop("event_id").coalesce(1).write.mode("append").parquet(base + "/in")
+    stream = spark.readStream.schema("timestamp timestamp, path string").option("maxFilesPerTrigger", 1).parquet(base + "/in")
+    job = stream.writeStream.foreachBatch(St.usage_batches(base + "/out")).option("checkpointLocation", base + "/state")
+    job.trigger(availableNow=True).start().awaitTermination()
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias("day")
+    counted = spark.read.parquet(base + "/out/counts").filter("dimension = 'path'")
+    counted = counted.select(day("day"), F.lit(False).alias("late"), F.col("key").alias("path"), "count")
+    late = spark.read.parquet(base + "/out/late").select(day("timestamp"), F.lit(True).alias("late"), "path", F.lit(1).alias("count"))
+    return counted.unionByName(late).groupBy("day", "late", "path").agg(F.sum("count").alias("count"))
+
+
 @query("t05_open_requests_stream", f"WITH {RPC}, p AS (SELECT *, lag(kind) OVER (PARTITION BY log_id, id ORDER BY turn) AS before FROM rpc WHERE kind <> 'message') SELECT log_id, turn, kind FROM p WHERE kind = 'tool_call' OR before = 'tool_call'")
 def _(spark, sf):
     t = F.col("event_type")

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from turnwise.functions import web as Wb
 from turnwise.functions.json_nodes import settled
 from turnwise.operators import usage as U
+from turnwise.session import cut_lineage
 
 # Provider event names and ours.
 MAIL_TYPES = {
@@ -161,6 +162,35 @@ def usage_stream(events: DataFrame, watermark: str = "1 day") -> DataFrame:
     )
 
 
+def usage_batches(out: str, delay: str = "1 day", ts: str = "timestamp") -> Callable[[DataFrame, int], None]:
+    """Handler for `foreachBatch` that counts rows in time and keeps late ones apart.
+
+    A row is late if its time lies more than `delay` before the newest time of all batches before
+    its own. Under `out`, `counts` has the partial counters of each batch, `late` its late rows,
+    `marks` its newest time; a batch that runs again after a failure replaces its own folders.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        mark = None
+        if batch_id:
+            marks = spark.read.schema("batch long, newest timestamp").parquet(f"{out}/marks")
+            mark = marks.filter(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
+        limit = F.lit(mark) - F.expr(f"INTERVAL {delay}")
+        late = F.lit(False) if mark is None else F.coalesce(F.col(ts) < limit, F.lit(False))
+        rows = cut_lineage(batch.withColumn("_late", late))
+        rows.filter("_late").drop("_late").write.mode("overwrite").parquet(f"{out}/late/batch={batch_id}")
+        timely = rows.filter("NOT _late").select(
+            F.to_date(ts).alias("day"), F.inline(U.request_entries(set(batch.columns) - {ts}))
+        )
+        counts = timely.groupBy("day", "dimension", "key").agg(F.count(F.lit(1)).alias("count"))
+        counts.write.mode("overwrite").parquet(f"{out}/counts/batch={batch_id}")
+        newest = rows.agg(F.lit(batch_id).cast("long").alias("batch"), F.max(ts).alias("newest"))
+        newest.write.mode("overwrite").parquet(f"{out}/marks/part={batch_id}")
+
+    return handle
+
+
 class OpenRequests(StatefulProcessor):
     """Results whose request is open (T05): one state per (log, request id) with a TTL."""
 
