@@ -123,6 +123,13 @@ def _(spark, sf):
     return rows.groupBy("key").agg(F.count(F.lit(1)).alias("count"))
 
 
+@query("j15_frequent_pairs", "WITH x AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) SELECT a.l_suppkey AS left, b.l_suppkey AS right, count(*) AS count FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY ALL HAVING count(*) >= 20")
+def _(spark, sf):
+    """Suppliers that deliver to the same orders, twenty at least."""
+    rows = Ad.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("ids"))
+    return U.frequent_pairs(rows, "l_orderkey", "ids", 20)
+
+
 def requests(spark, sf):
     """Events as requests: the path of a known prefix, a status, a client."""
     ev = Ad.table(spark, sf, "events")

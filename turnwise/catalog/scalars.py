@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from turnwise.catalog import query
 from turnwise.functions import buckets as B
 from turnwise.functions import json_nodes as J
+from turnwise.functions import literals
 from turnwise.functions import text as X
 from turnwise.functions import web as Wb
 from turnwise.functions.json_nodes import settled
@@ -243,6 +244,18 @@ def _(spark, sf):
     )
 
 
+@query(
+    "p14_many_signatures",
+    "WITH sig AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{4,}'))) AS id FROM benchmark), word AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS id FROM documents) SELECT id, count(*) AS documents FROM word JOIN sig USING (id) GROUP BY id",
+)
+def _(spark, sf):
+    """Every plain word of the benchmark items is a signature: a registry grows with its table."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("w"))
+    registry = [(r["w"], (rf"(?i)\b{r['w']}\b",)) for r in words.select(F.lower("w").alias("w")).distinct().collect()]
+    ids = literals.matching_ids(F.col("text"), registry)
+    return texts(spark, sf, "documents").select(F.explode(ids).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("documents"))
+
+
 @query(
     "p15_primary_client",
     f"SELECT doc_id, coalesce(min(id), 'unknown') AS client FROM (SELECT doc_id FROM documents) LEFT JOIN ({match_sql(MENTIONED, 'doc_id', 't', signatures.CODING_AGENTS)}) USING (doc_id) GROUP BY doc_id",

@@ -239,6 +239,36 @@ def pair_keys(ids: Column) -> Column:
     )
 
 
+#: Ids of a row that are expanded into pairs at once.
+PAIR_SIDE = 256
+
+
+def frequent_pairs(rows: DataFrame, row: str, ids: str, minimum: int, side: int = PAIR_SIDE) -> DataFrame:
+    """(left, right, count): ids that occur together in at least `minimum` rows (J15 under A20).
+
+    A pair cannot be in more rows than either of its ids, so ids below `minimum` go before any
+    pair is made. Rows with few ids are light: their pairs are made where they are. Heavy rows are
+    cut into blocks of `side` ids, and every two blocks are a row of their own, dealt to all
+    tasks. `rows` has one row for each value of `row` and an array column `ids`.
+    """
+    minimum = max(1, minimum)
+    long = rows.select(row, F.explode(F.array_distinct(ids)).alias("_i")).filter("_i IS NOT NULL")
+    often = long.groupBy("_i").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= minimum)
+    lists = long.join(often.select("_i"), "_i", "left_semi").groupBy(row).agg(F.sort_array(F.collect_list("_i")).alias("_l"))
+    light = lists.filter((F.size("_l") > 1) & (F.size("_l") <= side)).select(F.col("_l").alias("_a"), F.col("_l").alias("_b"))
+    last = F.ceil(F.size("_l") / side).cast("int") - 1
+    heavy = lists.filter(F.size("_l") > side).select("*", F.explode(F.sequence(F.lit(0), last)).alias("_x"))
+    heavy = heavy.select("*", F.explode(F.sequence(F.col("_x"), last)).alias("_y"))
+    block = lambda c: F.slice("_l", F.col(c) * side + 1, F.lit(side))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = heavy.select(row, "_x", "_y", block("_x").alias("_a"), block("_y").alias("_b")).repartition(parts, row, "_x", "_y")
+    both = light.unionByName(heavy.select("_a", "_b"))
+    pairs = both.select(F.explode("_a").alias("left"), "_b").select(
+        "left", F.explode(F.filter("_b", lambda r: r > F.col("left"))).alias("right")
+    )
+    return pairs.groupBy("left", "right").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= minimum)
+
+
 def cohort_summary(events: DataFrame, minimum: int = 10) -> tuple[DataFrame, DataFrame]:
     """(kept cells, number of suppressed cells) of a retained-event feed."""
     counts = count_entries(events, retained_entries())
