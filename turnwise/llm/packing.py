@@ -18,6 +18,7 @@ import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -246,48 +247,51 @@ def _spaced(text: str | None) -> list[bytes]:
 def file_tokenizer(path: str, end_id: int, table_words: int = 600_000) -> Callable[[], Callable[[list], list[np.ndarray]]]:
     """Texts to ids by a tokenizer file whose pre-tokens never span white space, with `end_id` last.
 
-    Each distinct word is encoded once for a task, many words in one call, told apart by the
-    word-end mark of the pieces. Words beyond plain Latin are encoded singly.
+    Each distinct word is encoded once for a worker process, many words in one call, told apart by
+    the word-end mark of the pieces. Words beyond plain Latin are encoded singly. Tokenizer and
+    table of words stay with the process, whatever tasks it gets; the table is emptied when
+    it holds `table_words`.
     """
-
-    def make() -> Callable[[list], list[np.ndarray]]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
-        last = np.zeros(max(vocabulary.values()) + 1, np.int64)  # ids that end a pre-token
-        last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = 1
-
-        def batch(texts: list[str]) -> list:
-            return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-        def encode(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            text = [w.decode() for w in new]
-            mask = np.array([bool(_plain(w)) for w in text])
-            latin = [w for w, p in zip(text, mask, strict=True) if p]
-            parts = np.array([1 if w.isalpha() else len(_parts(w.lower())) for w in latin], np.int64)
-            groups = batch([" ".join(latin[i : i + 2000]) for i in range(0, len(latin), 2000)])
-            flat = np.concatenate([np.zeros(0, np.int32), *(np.array(g, np.int32) for g in groups)])
-            ends = np.flatnonzero(last[flat]) + 1
-            if len(ends) != parts.sum():
-                raise ValueError("pre-tokens of this tokenizer differ from the expected ones")
-            others = batch([w for w, p in zip(text, mask, strict=True) if not p])
-            counts, source = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-            counts[mask] = np.diff(np.r_[0, ends[np.cumsum(parts) - 1]])
-            counts[~mask] = [len(x) for x in others]
-            order = np.r_[np.flatnonzero(mask), np.flatnonzero(~mask)]
-            source[order] = np.cumsum(counts[order]) - counts[order]
-            flat = np.concatenate([flat, np.array([i for x in others for i in x], np.int32)])
-            return flat[ranges(source, counts)], counts
-
-        table = WordTable(encode, table_words)
-
-        def texts_to_ids(texts: list) -> list[np.ndarray]:
-            flat, counts = table.ids([_spaced(t) for t in texts])
-            parts = np.split(flat, np.cumsum(counts)[:-1])
-            return [np.append(p, end_id).astype("<u4") for p in parts]
-
-        return texts_to_ids
-
-    return make
+    return partial(_kept_tokenizer, path, end_id, table_words)
+
+
+@lru_cache(maxsize=2)
+def _kept_tokenizer(path: str, end_id: int, table_words: int) -> Callable[[list], list[np.ndarray]]:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+    last = np.zeros(max(vocabulary.values()) + 1, np.int64)  # ids that end a pre-token
+    last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = 1
+
+    def batch(texts: list[str]) -> list:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        text = [w.decode() for w in new]
+        mask = np.array([bool(_plain(w)) for w in text])
+        latin = [w for w, p in zip(text, mask, strict=True) if p]
+        parts = np.array([1 if w.isalpha() else len(_parts(w.lower())) for w in latin], np.int64)
+        groups = batch([" ".join(latin[i : i + 2000]) for i in range(0, len(latin), 2000)])
+        flat = np.concatenate([np.zeros(0, np.int32), *(np.array(g, np.int32) for g in groups)])
+        ends = np.flatnonzero(last[flat]) + 1
+        if len(ends) != parts.sum():
+            raise ValueError("pre-tokens of this tokenizer differ from the expected ones")
+        others = batch([w for w, p in zip(text, mask, strict=True) if not p])
+        counts, source = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        counts[mask] = np.diff(np.r_[0, ends[np.cumsum(parts) - 1]])
+        counts[~mask] = [len(x) for x in others]
+        order = np.r_[np.flatnonzero(mask), np.flatnonzero(~mask)]
+        source[order] = np.cumsum(counts[order]) - counts[order]
+        flat = np.concatenate([flat, np.array([i for x in others for i in x], np.int32)])
+        return flat[ranges(source, counts)], counts
+
+    table = WordTable(encode, table_words)
+
+    def texts_to_ids(texts: list) -> list[np.ndarray]:
+        flat, counts = table.ids([_spaced(t) for t in texts])
+        parts = np.split(flat, np.cumsum(counts)[:-1])
+        return [np.append(p, end_id).astype("<u4") for p in parts]
+
+    return texts_to_ids
