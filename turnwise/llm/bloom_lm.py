@@ -28,7 +28,7 @@ from turnwise.llm.common import text_chunks
 from turnwise.session import cut_lineage
 
 END, BEGIN = np.uint64(xxhash.xxh64_intdigest(b"")), np.uint64(xxhash.xxh64_intdigest(b" "))
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 HELD_TOKENS = 3_000_000
 
 
@@ -38,7 +38,7 @@ class FilterSettings:
     bits_per_entry: int = 10
     least_bits: int = 5
     probes: int = 4
-    block_bytes: int = 32 << 20
+    block_bytes: int = 16 << 20
     segment_bytes: int = 16 << 20
 
 
