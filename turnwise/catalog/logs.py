@@ -7,6 +7,7 @@ import tarfile
 import uuid
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnwise.catalog import query
@@ -595,7 +596,8 @@ PRINT_TEXT = ("see .bmad-core/ and .bmad-core/agents/dev.md", "npm i bmad-method
 
 @query(
     "d14_fingerprints",
-    """SELECT doc_id AS log_id, fingerprint_id, confidence, CAST(evidence_count AS BIGINT) AS evidence_count, active, installed, version_bucket FROM (
+    """SELECT doc_id AS log_id, fingerprint_id, confidence, CAST(evidence_count AS BIGINT) AS evidence_count, active, installed, version_bucket,
+      row_number() OVER (PARTITION BY doc_id ORDER BY CASE fingerprint_id WHEN 'bmad' THEN 5 WHEN 'openspec' THEN 3 WHEN 'kiro' THEN 2 ELSE 1 END, fingerprint_id) AS rank FROM (
       SELECT doc_id, 'bmad' AS fingerprint_id, 'high' AS confidence, 2 + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS evidence_count, doc_id % 3 = 0 AS active, doc_id % 3 = 0 AS installed, CASE WHEN doc_id % 3 = 0 THEN '4.' || doc_id % 7 ELSE '' END AS version_bucket FROM documents WHERE doc_id % 5 = 0
       UNION ALL SELECT doc_id, 'bmad', 'medium', 1 + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END, FALSE, doc_id % 3 = 0, CASE WHEN doc_id % 3 = 0 THEN '4.' || doc_id % 7 ELSE '' END FROM documents WHERE doc_id % 5 = 1
       UNION ALL SELECT doc_id, 'bmad', 'low', 2, FALSE, TRUE, '4.' || doc_id % 7 FROM documents WHERE doc_id % 5 > 1 AND doc_id % 3 = 0
@@ -610,7 +612,9 @@ def _(spark, sf):
     inventory = docs.filter(d % 3 == 0).select(d.alias("log_id"), F.lit("bmad-method").alias("binary"), F.concat(F.lit("bmad v4."), (d % 7).cast("string"), F.lit(".1")).alias("version_text"))
     det, _, rules = D.frames(spark)
     hits = Fp.marker_hits(logs, list(D.MARKERS), inventory)
-    return Fp.evaluate(hits, det, rules).drop("priority", "sources")
+    order = Window.partitionBy("log_id").orderBy("priority", "fingerprint_id")
+    rows = Fp.evaluate(hits, det, rules).withColumn("rank", F.row_number().over(order).cast("long"))
+    return rows.drop("priority", "sources")
 
 
 # Recommendations -------------------------------------------------------------------------------

@@ -418,14 +418,15 @@ def _(spark, sf):
 
 PREFIXES = [p for p, _ in Wb.PATH_TEMPLATES] + ["/docs/", Wb.CTA_PREFIX + "npx_privacy?", "/api/admin/usage-stats"]
 PREFIXED_PATH = "list_extract([" + lst(PREFIXES) + f"], CAST(page_id % {len(PREFIXES)} + 1 AS INTEGER)) "
-# The path of each page behind one of the known prefixes.
-PATHS_SQL = f"(SELECT page_id, CASE WHEN suffix(pre, '?') THEN rtrim(pre, '?') ELSE pre || page_id END AS path FROM (SELECT page_id, {PREFIXED_PATH} AS pre FROM pages))"
+# The path of each page's URL behind one of the known prefixes.
+PATHS_SQL = f"(SELECT page_id, CASE WHEN suffix(pre, '?') THEN rtrim(pre, '?') ELSE pre || ltrim(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/') END AS path FROM (SELECT page_id, url, {PREFIXED_PATH} AS pre FROM pages))"
 
 
 def paths(spark, sf):
     options = F.array(*[F.lit(p) for p in PREFIXES])
     pre = F.element_at(options, (F.col("page_id") % len(PREFIXES) + 1).cast("int"))
-    path = F.when(pre.endswith("?"), F.rtrim(pre, F.lit("?"))).otherwise(F.concat(pre, F.col("page_id").cast("string")))
+    own = F.ltrim(Wb.url_part(F.col("url"), "PATH"), F.lit("/"))
+    path = F.when(pre.endswith("?"), F.rtrim(pre, F.lit("?"))).otherwise(F.concat(pre, F.coalesce(own, F.lit(""))))
     return table(spark, sf, "pages").select("page_id", path.alias("path"))
 
 
