@@ -232,6 +232,32 @@ def test_near_copies_are_those_of_exact_similarity(spark):
     assert len(kept) <= len(want) + 2  # pairs at 0.8 may have a bit too many to meet
 
 
+def test_sketches_refute_only_pairs_below_the_similarity():
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 60, 400, 3000):
+        for _ in range(30):
+            other = int(rng.integers(0, n // 9 + 1))
+            base = rng.integers(0, 1 << 63, n + other, dtype=np.uint64)
+            one, two = base[:n], base[other:]
+            s = covering.parity_sketches(np.r_[one, two], np.array([n, n]))
+            turned = int(np.bitwise_count(s[0] ^ s[1]).sum())
+            assert turned <= 2 * other
+            if n - other >= 0.8 * (n + other):
+                assert turned <= covering.most_turned(np.array([2 * n]), 0.8)[0]
+
+
+def test_a_family_just_below_the_similarity_writes_few_pairs():
+    """200 texts of one cell, of 60 shingles each, that share 50 with each other: refuted where they meet."""
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+    sets = [np.r_[common, rng.integers(0, 1 << 63, 10, dtype=np.uint64)] for _ in range(200)]
+    h, counts = np.concatenate(sets), np.full(200, 60)
+    fp, label, home = covering.long_fingerprints(h, counts), np.arange(200), np.arange(200)
+    without = covering._proposed(fp, counts, label, home, 256, 0.8, covering.ALL)
+    refuted = covering._proposed(fp, counts, label, home, 256, 0.8, covering.ALL, covering.parity_sketches(h, counts))
+    assert len(without[0]) == 200 * 199 and len(refuted[0]) < 0.05 * len(without[0])
+
+
 def test_near_copies_do_not_need_unique_ids(spark):
     rows = [(None, "a text of no id"), (None, "another text of no id"), (1, "first of one"), (1, "second of one"), (2, "first of one"), (None, "second of one"), (1, "first of one"), (3, None), (None, "")]
     got = covering.distinct(spark.createDataFrame(rows, "doc_id long, text string")).collect()

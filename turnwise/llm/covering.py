@@ -296,18 +296,52 @@ def most_bits_apart(similarity: float) -> int:
     return int(n * p + np.sqrt(n * p * (1 - p)))
 
 
-#: What a text proposes where it meets others of another label: the first, the nearest in bits, or all.
+#: 64-bit words of the parity sketch of a set.
+SKETCH_WORDS = 8
+
+
+def parity_sketches(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(n, SKETCH_WORDS): each hash of a set turns one bit, so two sketches differ in at most as many bits as hashes that only one set has."""
+    bit = mixed(h ^ np.uint64(int(STEP) >> 1)) % np.uint64(64 * SKETCH_WORDS)
+    out = np.zeros((len(counts), SKETCH_WORDS), np.uint64)
+    np.bitwise_xor.at(out, (np.repeat(np.arange(len(counts)), counts), (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
+def most_turned(total: np.ndarray, similarity: float) -> np.ndarray:
+    """Bits in which the sketches of two similar sets of `total` hashes together differ at most.
+
+    No more than the hashes that only one of them has; where that is so many that bits turn back, no more than
+    expected and four standard errors.
+    """
+    most = np.floor(total * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    bits = 64 * SKETCH_WORDS
+    left = (1 - 2 / bits) ** most
+    return np.minimum(most, np.ceil(bits / 2 * (1 - left) + 4 * np.sqrt(bits / 4 * (1 - left * left))))
+
+
+#: What a text proposes where it meets others of another label: the first, the nearest by the sketches, or all.
 FIRST, NEAREST, ALL = range(3)
 
 
-def _proposed(fp: np.ndarray, n: np.ndarray, label: np.ndarray, home: np.ndarray, cut: int, similarity: float, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, partner, bits apart): rows at home meet all rows; both of a pair have at most `cut` bits apart, another label and sizes that allow the similarity."""
-    size, far = len(fp), 64 * LONG_WORDS + 1
-    best, partner, found = np.full(size, far, np.int16), np.full(size, size), []
+def _proposed(
+    fp: np.ndarray, n: np.ndarray, label: np.ndarray, home: np.ndarray, cut: int, similarity: float, which: int, sketch: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, partner, how far apart): rows at home meet all rows; both of a pair have at most `cut` bits apart, another label, and sizes and sketches that allow the similarity."""
+    size, far = len(fp), 1 << 20
+    best, partner, found = np.full(size, far, np.int32), np.full(size, size), []
     for some in np.array_split(home, -(-len(home) * size // 4_000_000)):
-        apart = sum(np.bitwise_count(fp[some, i][:, None] ^ fp[None, :, i]).astype(np.int16) for i in range(fp.shape[1]))
+        apart = sum(np.bitwise_count(fp[some, i][:, None] ^ fp[None, :, i]).astype(np.int32) for i in range(fp.shape[1]))
         small, large = np.minimum(n[some][:, None], n[None, :]), np.maximum(n[some][:, None], n[None, :])
         ok = (apart <= cut) & (label[some][:, None] != label[None, :]) & (small >= (similarity - 1e-9) * large)
+        if sketch is not None:
+            every_i, every_j = np.nonzero(ok)
+            for at in range(0, len(every_i), 200_000):
+                i, j = every_i[at : at + 200_000], every_j[at : at + 200_000]
+                turned = np.bitwise_count(sketch[some[i]] ^ sketch[j]).sum(1, dtype=np.int64)
+                total = n[some[i]] + n[j]
+                ok[i, j] = turned <= most_turned(total, similarity)
+                apart[i, j] = (turned << 12) // np.maximum(total, 1)
         if which == ALL:
             i, j = np.nonzero(ok)
             found.append((some[i], j, apart[i, j]))
@@ -336,8 +370,9 @@ def distinct(df: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: s
     with at most one bit turned, and meets there the texts at home. Pairs at an anchor that
     differ in no more bits than expected are candidates, and linked if the exact similarity of
     their sets (64-bit hashes of shingles) confirms it. A group of n copies has n * n pairs, so each text
-    first proposes its first partner only, then the nearest one outside its group; what is
-    then still apart is compared pair by pair. Texts of one set count once. Null and empty texts form one group. Ids are integers and need not be
+    first proposes its first partner only, then the nearest one outside its group; texts that still have
+    one are compared pair by pair. From the second round on a parity sketch of the sets refutes pairs at the anchor,
+    before they are written, so texts just under the similarity cost comparisons and no rows. Texts of one set count once. Null and empty texts form one group. Ids are integers and need not be
     unique: rows are told apart by a 64-bit hash of id and text, and of rows equal in both one stays. A null id comes last. An empty table gives none.
     """
     cut = most_bits_apart(similarity)
@@ -349,24 +384,26 @@ def distinct(df: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: s
             for rows, texts in text_chunks(batch, text_col, 2 << 20):
                 h, counts = shingle_hashes(texts, shingle, once=True)
                 fp = long_fingerprints(h, counts).view(np.int64)
-                cols = [pa.array(_set_keys(h, counts)), pa.array(counts), rows.column("id"), rows.column("row"), *(pa.array(fp[:, i].copy()) for i in range(LONG_WORDS))]
-                yield pa.RecordBatch.from_arrays(cols, ["key", "n", "id", "row", *words])
+                sketch = pa.array([s.tobytes() for s in parity_sketches(h, counts)], pa.binary())
+                cols = [pa.array(_set_keys(h, counts)), pa.array(counts), rows.column("id"), rows.column("row"), sketch, *(pa.array(fp[:, i].copy()) for i in range(LONG_WORDS))]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "n", "id", "row", "sketch", *words])
 
     row = F.xxhash64(F.col(id_col), F.col(id_col).isNull(), F.col(text_col), F.col(text_col).isNull())
     rows = df.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), text_col)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
-    firsts = [F.first(c).alias(c) for c in ("n", *words)]
-    nodes = cut_lineage(rows.mapInArrow(prints, f"key bigint, n bigint, id bigint, row bigint, {fields}").groupBy("key").agg(first, *firsts))
+    firsts = [F.first(c).alias(c) for c in ("n", "sketch", *words)]
+    nodes = cut_lineage(rows.mapInArrow(prints, f"key bigint, n bigint, id bigint, row bigint, sketch binary, {fields}").groupBy("key").agg(first, *firsts))
+
+    carried = ["key", "n", "label", *words, "sketch"]
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried = ["key", "n", "label", *words]
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 fp = np.stack([part.column(w).to_numpy(zero_copy_only=False).view(np.uint64) for w in words], 1)
                 cell, row, home = long_cells(fp)
-                rest = part.select(carried).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(home), *rest.columns], ["cell", "home", *carried])
+                rest = part.select([c for c in part.schema.names if c in carried]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(home), *rest.columns], ["cell", "home", *rest.schema.names])
 
     def met(labelled: DataFrame, which: int) -> DataFrame:
         """(a, b, apart): candidates between nodes of different labels."""
@@ -376,18 +413,24 @@ def distinct(df: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: s
             order = np.lexsort((key, cell))
             key, n, label, at_home = (table.column(c).to_numpy()[order] for c in ("key", "n", "label", "home"))
             fp = np.stack([table.column(w).to_numpy().view(np.uint64) for w in words], 1)[order]
+            sketch = None
+            if which != FIRST:
+                flat = b"".join(table.column("sketch").to_pylist())
+                sketch = np.frombuffer(flat, np.uint64).reshape(-1, SKETCH_WORDS)[order]
             edges = np.flatnonzero(np.r_[True, cell[order][1:] != cell[order][:-1], True])
             some = np.flatnonzero((np.diff(edges) > 1) & np.logical_or.reduceat(at_home, edges[:-1]))
-            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16))]
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
             for start, stop in zip(edges[some].tolist(), edges[some + 1].tolist(), strict=True):
                 own = slice(start, stop)
-                i, j, apart = _proposed(fp[own], n[own], label[own], np.flatnonzero(at_home[own]), cut, similarity, which)
+                i, j, apart = _proposed(fp[own], n[own], label[own], np.flatnonzero(at_home[own]), cut, similarity, which, None if sketch is None else sketch[own])
                 out.append((key[own][i], key[own][j], apart))
             a, b, apart = (np.concatenate(x) for x in zip(*out, strict=True))
             return pa.table({"a": a, "b": b, "apart": apart})
 
-        cells = labelled.mapInArrow(sent, f"cell bigint, home boolean, key bigint, n bigint, label bigint, {fields}")
-        found = cells.withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(buckets))).groupBy("bucket").applyInArrow(linked, "a bigint, b bigint, apart smallint")
+        some = carried[:-1] if which == FIRST else carried
+        kinds = f"cell bigint, home boolean, key bigint, n bigint, label bigint, {fields}" + (", sketch binary" if which != FIRST else "")
+        cells = labelled.select(*some).mapInArrow(sent, kinds)
+        found = cells.withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(buckets))).groupBy("bucket").applyInArrow(linked, "a bigint, b bigint, apart int")
         if which == FIRST:
             found = found.groupBy("a").agg(F.min("b").alias("b"))
         elif which == NEAREST:
@@ -424,6 +467,7 @@ def distinct(df: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: s
         pairs = met(labels_of(close, edges), which)
         if pairs.isEmpty():
             break
+        close = close.join(pairs.select(F.col("a").alias("key")).distinct(), "key", "left_semi")
         edges = cut_lineage(edges.union(confirmed(pairs)))
     kept = labels_of(nodes, edges).groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__first"))
     return df.withColumn("__row", row).join(kept, F.col("__row") == F.col("__first"), "left_semi").dropDuplicates(["__row"]).drop("__row")
