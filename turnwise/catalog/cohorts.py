@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from turnwise.catalog import query
+from turnwise.catalog.logs import scratch
 from turnwise.catalog.scalars import EMAILS_SQL, FAMILY_ROWS, PATHS_SQL, SCRUB, emails, lst, paths, q, scrubbed
 from turnwise.functions import web as Wb
 from turnwise.operators import benchstats as Bs
 from turnwise.operators import funnel as Fu
 from turnwise.operators import selection as Sel
+from turnwise.operators.ledger import SeenLedger
 from turnwise.operators import tooling as T
 from turnwise.operators import usage as U
 from turnwise.plans import adapters as Ad
@@ -261,6 +265,27 @@ def _(spark, sf):
     return Fu.first_seen(refs, "hash", "doc_id")
 
 
+LEDGER_DAYS = ("de", "en", "es", "fr")
+
+
+@query("a23_ledger_days", f"""WITH p AS (SELECT coalesce(list_position(['de', 'en', 'es', 'fr'], lang), 0) AS day, * FROM {PRODUCT_SQL}), refs AS (SELECT DISTINCT day, doc_id, unnest(hashes) AS hash FROM p),
+ firsts AS (SELECT hash, arg_min(day, (day, doc_id)) AS day, arg_min(doc_id, (day, doc_id)) AS doc_id FROM refs GROUP BY hash)
+ SELECT p.doc_id, CAST(p.day AS BIGINT) AS day, (SELECT count(*) FROM refs r WHERE r.doc_id = p.doc_id) AS hash_refs, CASE WHEN len(hashes) = 0 THEN 1 ELSE (SELECT count(*) FROM firsts f WHERE f.doc_id = p.doc_id) END AS weight FROM p""")
+def _(spark, sf):
+    """Languages arrive one after the other; each run asks the ledger, never the events of earlier days."""
+    path = scratch(spark, "ledger")
+    ledger = SeenLedger(spark, f"seen_{path.rsplit('-', 1)[1]}", path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    events = product(spark, sf)
+    known = F.coalesce(F.array_position(F.array(*map(F.lit, LEDGER_DAYS)), F.col("lang")), F.lit(0)).cast("long")
+    out = None
+    for day in range(len(LEDGER_DAYS) + 1):
+        of_day = events.withColumn("day", known).filter(F.col("day") == day)
+        rows = ledger.weigh(of_day, "hashes", "doc_id", dt.date(2024, 1, 1) + dt.timedelta(day))
+        rows = rows.select("doc_id", "day", "hash_refs", "weight")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def unlocks(spark, sf):
     ev = Ad.table(spark, sf, "events")
     e = F.col("event_id")

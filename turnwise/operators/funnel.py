@@ -45,7 +45,11 @@ def event_weights(events: DataFrame, hashes: str, event: str, *order: str) -> Da
     """Hashes first seen in each event; an event without hashes weighs 1, one without new
     hashes 0 (A23)."""
     refs = event_hashes(events, hashes, event, *[o for o in order if o != event])
-    firsts = first_seen(refs, "hash", *order)
+    return weighed(events, refs, first_seen(refs, "hash", *order), event)
+
+
+def weighed(events: DataFrame, refs: DataFrame, firsts: DataFrame, event: str) -> DataFrame:
+    """Events with `hash_refs`, the number of their rows in `refs`, and `weight`, that of their rows in `firsts`."""
     fresh = firsts.groupBy(event).agg(F.count(F.lit(1)).alias("_new"))
     counts = refs.groupBy(event).agg(F.count(F.lit(1)).alias("_refs"))
     return (
