@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnwise.functions import text as X
 from turnwise.operators import normalize as N
 from turnwise.sources import splits
+from turnwise.streaming import jobs
 
 KEY = "-----BEGIN {0}PRIVATE KEY-----\n{1}\n-----END {2}PRIVATE KEY-----"
 
@@ -59,3 +60,42 @@ def test_rows_are_those_of_whole_texts(spark, tmp_path, split, most):
     counts = whole.select("log_id", F.inline("redactions")).collect()
     assert fired == {(r[0], r[1]): r[2] for r in counts}
     assert {f for _, f in fired} >= {"private_key", "ssh_private_key", "api_key", "cookie", "email"}
+
+
+def test_parts_of_a_folder_are_one_log(spark, tmp_path):
+    text = log(9, 300)
+    lines = text.removesuffix("\n").split("\n")
+    folder = tmp_path / "source=a"
+    folder.mkdir()
+    for k in range(0, len(lines), 37):
+        (folder / f"part-{k // 37:05d}-x.txt").write_bytes(("\n".join(lines[k : k + 37]) + "\n").encode())
+    done = splits.scrubbed_pieces(splits.parts_as_logs(splits.log_lines(spark, str(tmp_path))), 500)
+    got = {r[0]: r[1] for r in splits.numbered_lines(done).select("turn", "raw").collect()}
+    whole = X.with_scrubbed(spark.createDataFrame([("a", text)], "log_id string, content string"), "content", out="_s")
+    want = N.lines_of(whole.select("log_id", F.col("_s").alias("content")))
+    assert got == {r[0]: r[1] for r in want.select("turn", "raw").collect()}
+    counts = {r[0]: r[1] for r in whole.select(F.inline("redactions")).collect()}
+    assert {r[1]: r[2] for r in splits.redactions(done).collect()} == counts
+
+
+def test_arriving_logs_are_read_in_ranges(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    texts = {f"{i}.jsonl": log(i, 200) for i in range(3)}
+    for name, text in texts.items():
+        (tmp_path / "in" / name).write_bytes(text.encode())
+    ranges, got = [], {}
+
+    def handle(batch, batch_id):
+        ranges.append(batch.select("log", "split").distinct().count())
+        rows = splits.numbered_lines(splits.pieces(batch, 400)).collect()
+        got.update({(r["log"].rsplit("/", 1)[1], r["turn"]): r["raw"] for r in rows})
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        jobs.intake_lines(spark, str(tmp_path / "in"), str(tmp_path / "state"), handle).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = N.lines_of(spark.createDataFrame(list(texts.items()), "log_id string, content string"))
+    assert got == {(r[0], r[1]): r[2] for r in want.collect()} and sum(ranges) > len(texts)

@@ -902,10 +902,10 @@ def _(spark, sf):
     docs.repartition(8, "part").select("value").write.text(base + "/in")
 
     def handle(batch, batch_id):
-        turns = N.lines_of(batch.select("log_id", "content"))
-        turns.groupBy("log_id").agg(n_rows("turns")).write.mode("append").parquet(base + "/out")
+        turns = splits.numbered_lines(cut_lineage(splits.pieces(batch)))
+        turns.groupBy("log").agg(n_rows("turns")).write.mode("append").parquet(base + "/out")
 
-    St.intake(spark, base + "/in", base + "/state", handle, glob="*.txt").awaitTermination()
+    St.intake_lines(spark, base + "/in", base + "/state", handle, glob="*.txt").awaitTermination()
     return spark.read.parquet(base + "/out").agg(F.sum("turns").alias("turns"))
 
 

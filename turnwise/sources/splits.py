@@ -16,8 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from turnwise.functions import text as X
 from turnwise.session import cut_lineage
@@ -38,7 +39,12 @@ PIECES = (
 
 def log_lines(spark: SparkSession, paths: list[str] | str, glob: str | None = None, recursive: bool = True) -> DataFrame:
     """(log, split, line): lines of text files as Spark's readers split them; `split` is where a range starts."""
-    reader = spark.read.option("recursiveFileLookup", recursive).option("lineSep", "\n")
+    return lines_from(spark.read, paths, glob, recursive)
+
+
+def lines_from(reader: DataFrameReader | DataStreamReader, paths: list[str] | str, glob: str | None = None, recursive: bool = True) -> DataFrame:
+    """`log_lines` of a reader of files or of a stream of files."""
+    reader = reader.option("recursiveFileLookup", recursive).option("lineSep", "\n")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     lines = reader.text(paths)
@@ -47,6 +53,19 @@ def log_lines(spark: SparkSession, paths: list[str] | str, glob: str | None = No
     )
 
 
+#: Bytes that a part file of a log in parts may have.
+PART_BYTES = 1 << 44
+
+
+def parts_as_logs(lines: DataFrame) -> DataFrame:
+    """`log_lines` of logs that are folders of part files: the parts of a folder, in the order of their numbers, are one log.
+
+    Spark numbers the part files of sorted rows so. `log` becomes the folder and `split` counts on from part to part.
+    """
+    number = F.regexp_extract("log", r"/part-(\d+)[^/]*$", 1).cast("long")
+    return lines.select(F.regexp_extract("log", "^.*/", 0).alias("log"), (number * PART_BYTES + F.col("split")).alias("split"), "line")
+
+
 class _Cutter:
     """Lines of one range, in order, to pieces of text."""
 
@@ -178,7 +197,8 @@ def joined(cut: DataFrame) -> DataFrame:
 
 def scrubbed_pieces(lines: DataFrame, most: int = PIECE_BYTES) -> DataFrame:
     """(log, split, piece, text, redactions) of logs of any size, scrubbed as their whole texts would be; written once."""
-    return cut_lineage(X.with_scrubbed(joined(pieces(lines, most)), "text", out="_s").drop("text").withColumnRenamed("_s", "text"))
+    cut = cut_lineage(pieces(lines, most))  # borders, whole pieces and torn ones are read apart
+    return cut_lineage(X.with_scrubbed(joined(cut), "text", out="_s").drop("text").withColumnRenamed("_s", "text"))
 
 
 def redactions(scrubbed: DataFrame) -> DataFrame:
@@ -193,7 +213,8 @@ def numbered_lines(scrubbed: DataFrame) -> DataFrame:
     """
     lines = F.filter(F.transform(F.split(F.col("text"), "\n"), X.trimmed), lambda x: x != "")
     rows = scrubbed.select("log", "split", "piece", lines.alias("lines"))
-    counts = rows.select("log", "split", "piece", F.size("lines").cast("long").alias("n"))
+    filled = F.size(F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(r"\S")))
+    counts = scrubbed.select("log", "split", "piece", filled.cast("long").alias("n"))
     before = Window.partitionBy("log").orderBy("split", "piece").rowsBetween(Window.unboundedPreceding, -1)
     skip = counts.select("log", "split", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
     placed = rows.join(skip, ["log", "split", "piece"])

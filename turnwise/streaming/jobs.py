@@ -13,6 +13,7 @@ from turnwise.functions import web as Wb
 from turnwise.functions.json_nodes import settled
 from turnwise.operators import usage as U
 from turnwise.session import cut_lineage
+from turnwise.sources import splits
 
 # Provider event names and ours.
 MAIL_TYPES = {
@@ -285,7 +286,8 @@ def intake(
 ):
     """Analyze files as they arrive (T01): each batch of whole files goes through `handle`.
 
-    Session folds need the whole log, and a log is one row, so a batch is complete.
+    Session folds need the whole log, and a log is one row, so a batch is complete. For logs that
+    may be larger than a row should be, `intake_lines` reads the same files in byte ranges.
     """
     logs = (
         spark.readStream.format("text")
@@ -306,3 +308,20 @@ def intake(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def intake_lines(
+    spark: SparkSession,
+    path: str,
+    checkpoint: str,
+    handle: Callable[[DataFrame, int], None],
+    glob: str = "*.jsonl",
+):
+    """Like `intake`, for logs of any size: `handle` gets the lines of whole files as `splits.log_lines` reads them."""
+    lines = splits.lines_from(spark.readStream, path, glob)
+    return (
+        lines.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
