@@ -68,9 +68,9 @@ def split_logs(spark, sf):
     """Scrubbed pieces of one log for each source: its documents one after the other, written as text and read in ranges."""
     folder = scratch(spark, "split-logs")
     docs = Ad.table(spark, sf, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ordered = docs.repartition("source").sortWithinPartitions("source", "doc_id")
+    ordered = docs.repartitionByRange("source", "doc_id").sortWithinPartitions("source", "doc_id")
     ordered.select("source", "text").write.partitionBy("source").text(folder)
-    return splits.scrubbed_pieces(splits.log_lines(spark, folder), 1 << 16)
+    return splits.scrubbed_pieces(splits.parts_as_logs(splits.log_lines(spark, folder)), 1 << 16)
 
 
 def source_of_log():

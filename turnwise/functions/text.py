@@ -39,10 +39,10 @@ SECRET_RULES = (
 # Lower-case text of which each family needs at least one piece; a text without it skips
 # the family's regular expression.
 SECRET_HINTS = {
-    "api_key": ("key", "token", "secret"),
+    "api_key": ("token", "secret", "apikey", "api_key", "api-key"),
     "anthropic_key": ("sk-ant-",),
     "openai_key": ("sk-",),
-    "github_token": ("gh",),
+    "github_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
     "npm_token": ("npm_",),
     "aws_access_key": ("akia",),
     "google_api_key": ("aiza",),
@@ -109,10 +109,11 @@ def required_literal(pattern: str) -> str:
     optional characters end a literal run.
     """
     body = pattern.removeprefix("(?i)").replace(r"\b", "")
+    body = re.sub(r"(?<!\\)\[\^?\]?(?:\\.|[^\]\\])*\](?:[?*+]|\{[^}]*\})?", "\0", body)
     if "|" in re.sub(r"\([^()]*\)", "", body):
         return ""
-    body = re.sub(r"\([^()]*\)[?*+]?|\[[^\]]*\][?*+]?", "\0", body)
-    body = re.sub(r"\\?.[?*{]", "\0", body)
+    body = re.sub(r"\([^()]*\)(?:[?*+]|\{[^}]*\})?", "\0", body)
+    body = re.sub(r"\\?.(?:[?*]|\{[^}]*\})", "\0", body)
     body = re.sub(r"\\([a-zA-Z])", "\0", body)
     body = re.sub(r"\\(.)", r"\1", body)
     runs = re.split(r"[\0*+^$()\[\]{}]", body.replace(".*", "\0"))
