@@ -99,3 +99,17 @@ def test_lines_that_are_no_objects_are_messages(spark):
 def test_numbers_have_one_form(spark, text, want):
     df = spark.createDataFrame([('{"a": %s}' % text,)], "raw string").select(J.json_nodes("raw").alias("n"))
     assert [n.text for n in df.first().n if n.kind == "number"] == [want]
+
+
+def test_lines_are_parsed_once_for_retries(spark, tmp_path):
+    from turnwise import catalog
+
+    catalog.load_all()
+    rows = [(i, i % 3, kind) for i, kind in enumerate(["view", "error", "view", "error", "click", "signup"] * 4)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string").selectExpr(
+        "*", "timestamp_seconds(event_id) AS ts", "1.0D AS value", "'{\"k\": 1}' AS props"
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.QUERIES["d01_transcript_retries"](spark, str(tmp_path))
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 3

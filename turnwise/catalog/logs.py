@@ -420,7 +420,9 @@ LOOP_SQL = """seg AS (SELECT *, sum(CASE WHEN is_call THEN 1 ELSE 0 END) OVER (P
 @query("d01_transcript_retries", f"WITH {TR}, {LOOP_SQL} SELECT log_id, CAST(loops AS BIGINT) AS args_hashed_retry_loops FROM loops")
 def _(spark, sf):
     events = N.events_of(N.with_nodes(transcripts(spark, sf)), only=())
-    return Se.identical_retries(N.with_event_position(events), step=N.POSITION_STEP)
+    calls = N.with_event_position(events).select("log_id", "pos", "kind", "tool", "args_hash", "parent_hash", "error")
+    # several folds read the events, so that lines are parsed once
+    return Se.identical_retries(cut_lineage(calls), step=N.POSITION_STEP)
 
 
 def wrapped(spark, sf, make, source):

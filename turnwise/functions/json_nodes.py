@@ -33,6 +33,8 @@ def _reject(token):
 
 def _number(value: int | float) -> str:
     """Shortest form of a double: 1.0 and 1 are both `1`; exponents only below 1e-6 and from 1e21 on."""
+    if type(value) is int and -(2**53) < value < 2**53:
+        return str(value)
     value = float(value)
     if value != value or value in (float("inf"), float("-inf")):
         return json.dumps(value)
@@ -45,60 +47,71 @@ def _number(value: int | float) -> str:
 
 
 def _walk(value, path, parent, key, depth, out):
-    at = len(out)
-    out.append(None)
+    """Append the node of `value` and those below it to the seven columns of `out`; its size."""
+    paths, parents, keys, depths, kinds, texts, sizes = out
+    at = len(paths)
+    paths.append(path)
+    parents.append(parent)
+    keys.append(key)
+    depths.append(depth)
     text = None
-    if isinstance(value, dict):
+    if isinstance(value, str):
+        kind, text = "string", value
+        size = len(value) if value.isascii() else len(value.encode("utf-8", "surrogatepass"))
+    elif isinstance(value, dict):
         kind, size = "object", 0
-        for name in sorted(value):
-            step = name.replace("~", "~0").replace("/", "~1")
-            size += _walk(value[name], f"{path}/{step}", path, name, depth + 1, out)
     elif isinstance(value, list):
         kind, size = "array", 0
-        for i, item in enumerate(value):
-            size += _walk(item, f"{path}/{i}", path, None, depth + 1, out)
-    elif isinstance(value, str):
-        kind, text = "string", value
-        size = len(value.encode("utf-8", "surrogatepass"))
     else:
         plain = value is None or isinstance(value, bool)
         text = json.dumps(value) if plain else _number(value)
         kind = "null" if value is None else "bool" if plain else "number"
         size = len(text)
-    out[at] = (path, parent, key, depth, kind, text, size)
+    kinds.append(kind)
+    texts.append(text)
+    sizes.append(size)
+    if kind == "object":
+        for name in sorted(value):
+            step = name.replace("~", "~0").replace("/", "~1") if "~" in name or "/" in name else name
+            size += _walk(value[name], f"{path}/{step}", path, name, depth + 1, out)
+        sizes[at] = size
+    elif kind == "array":
+        for i, item in enumerate(value):
+            size += _walk(item, f"{path}/{i}", path, None, depth + 1, out)
+        sizes[at] = size
     return size
 
 
+def json_nodes(lines: Column | str) -> Column:
+    """Nodes of a JSON object; NULL where the text is not one. Text that begins no object stays with Spark."""
+    lines = F.col(lines) if isinstance(lines, str) else lines
+    return _object_nodes(F.when(lines.rlike(r"^\s*\{"), lines))
+
+
 @F.arrow_udf(NODES)
-def json_nodes(lines: pa.Array) -> pa.Array:
-    """Nodes of a JSON object; NULL where the text is not one."""
+def _object_nodes(lines: pa.Array) -> pa.Array:
     columns = [[] for _ in range(7)]
-    offsets, valid, total = [0], [], 0
+    offsets, valid = [0], []
     for line in lines.to_pylist():
-        nodes = []
         ok = False
         if line is not None and line.lstrip()[:1] == "{":
             try:
-                parsed = json.loads(line, parse_constant=_reject)
-                _walk(parsed, "", None, None, 0, nodes)
+                _walk(json.loads(line, parse_constant=_reject), "", None, None, 0, columns)
                 ok = True
             except (ValueError, RecursionError):
-                nodes = []
-        for node in nodes:
-            for column, item in zip(columns, node):
-                column.append(item)
-        total += len(nodes)
-        offsets.append(total)
+                for column in columns:
+                    del column[offsets[-1] :]
+        offsets.append(len(columns[0]))
         valid.append(ok)
     types = [pa.string()] * 3 + [pa.int32()] + [pa.string()] * 2 + [pa.int64()]
     names = ["path", "parent", "key", "depth", "kind", "text", "size"]
 
     def clean(items, kind):
-        if kind == pa.string():
-            items = [
-                None if s is None else s.encode("utf-8", "replace").decode("utf-8") for s in items
-            ]
-        return pa.array(items, type=kind)
+        try:
+            return pa.array(items, type=kind)
+        except UnicodeEncodeError:  # half of a surrogate pair
+            items = [None if s is None else s.encode("utf-8", "replace").decode("utf-8") for s in items]
+            return pa.array(items, type=kind)
 
     struct = pa.StructArray.from_arrays(
         [clean(c, t) for c, t in zip(columns, types)],
