@@ -52,3 +52,21 @@ def test_median_of_ties_and_one_value(spark):
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(5)
     got = {r[0]: r[1] for r in Bs.exact_median(df, "g", value="v").collect()}
     assert got == {g: statistics.median(vs) for g, vs in groups.items()}
+
+
+def test_plain_words_need_no_search():
+    words = literals.Signatures([(w, (rf"(?i)\b{w}\b",)) for w in ("cat", "x_y", "a")] + [("dot", (r"\bgo\.mod\b",)), ("tail", (r"(?i)end",))])
+    assert words.ids_in("the Cat, concat X_Y éa go.mods go.mod weekEND") == ["a", "cat", "dot", "tail", "x_y"]
+    assert words.ids_in("concat cats xx_y go_mod Go.mod e nd") == [] and not words._plan[2]
+    assert literals.Signatures([("n", (r"[0-9]{5}",))]).ids_in("67890") == ["n"]
+    assert literals.Signatures([("any", (r"(?i)\bmcp.*git\b",))]).ids_in("mcp\r git") == []
+
+
+def test_categories_are_read_at_once(spark):
+    texts = ["Claude Code and mcp__github__x, npm install, /review", "Cursor rules; uv.lock\n/qa K", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    columns = [X.matching_ids(F.col("t"), sigs).alias(c) for c, sigs in signatures.CATEGORIES.items()]
+    one = df.withColumn("ids", literals.matching_by(F.col("t"), signatures.CATEGORIES))
+    rows = one.select("ids", F.struct(*columns).alias("want")).collect()
+    assert all(r["ids"] == r["want"] for r in rows) and any(r["ids"]["skill"] for r in rows)
+    assert one._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1

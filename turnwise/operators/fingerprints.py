@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,9 @@ def marker_hits(
         if cls in ("cli_binary", "cli_version_probe"):
             continue
         hit = text.rlike(X.ascii_edges(pattern))
+        literal = X.required_literal(pattern)
+        if literal and literal in pattern.replace("\\", "") and not re.match(r"\(\?[a-z]*i", pattern):
+            hit = text.contains(literal) & hit
         if cls == "slash_command" and slash is not None:
             hit = hit | F.col(slash).rlike(X.ascii_edges(pattern))
         entries.append(

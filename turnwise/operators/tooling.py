@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions import buckets as B
+from turnwise.functions import literals
 from turnwise.functions import text as X
 from turnwise.functions.json_nodes import settled
 from turnwise.registry import signatures as S
@@ -310,13 +311,11 @@ def utilization(
 def ecosystem(logs: DataFrame, log: str = "log_id", content: str = "content", categories=S.CATEGORIES):
     """Per log: environment labels and the ids of each category."""
     text = F.col(content)
-    rows = settled(logs.select(log, content), {"_low": F.lower(text)})
-    found = {c: X.matching_ids(text, sigs, F.col("_low")) for c, sigs in categories.items()}
-    rows = settled(rows, found)
+    rows = logs.select(log, content).withColumn("_ids", literals.matching_by(text, categories))
     return rows.select(
         log,
-        *categories,
-        X.primary_of(F.col("coding_agent")).alias("client"),
+        *[F.col("_ids")[c].alias(c) for c in categories],
+        X.primary_of(F.col("_ids")["coding_agent"]).alias("client"),
         X.detect_os(text).alias("operating_system"),
         X.detect_shell(text).alias("shell"),
         X.detect_vcs(text).alias("version_control"),
