@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from turnwise.catalog.logs import scratch
@@ -53,3 +54,57 @@ def test_three_batches_give_the_counters_of_the_whole(spark):
         have = last[want["log_id"]]
         assert {c: have[c] for c in want.asDict() if c != "log_id"} == {c: v for c, v in want.asDict().items() if c != "log_id"}
         assert have["read_to"] == whole[want["log_id"]][1] and not have["waiting"]
+
+
+class Kept:
+    """State of one key that counts how often it is asked."""
+
+    def __init__(self, value=None):
+        self.value, self.map, self.calls = value, {}, 0
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.map
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.map[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.map[key]
+
+    def iterator(self):
+        return iter(list(self.map.items()))
+
+    def clear(self):
+        self.map = {}
+
+
+def test_state_is_asked_by_file_and_not_by_line(monkeypatch):
+    rows = [(at, k, 10, 10, 5, False, False, ["a.py"]) for at in range(0, 3000, 10) for k in range(10)]
+    columns = ["at", "line", "lines", "size", "tokens", "is_tool", "is_error", "files"]
+    for held in (growing.MOST_HELD, 7):
+        monkeypatch.setattr(growing, "MOST_HELD", held)
+        job = growing.GrowingLog()
+        job._fold, job._files, job._early = Kept(), Kept(), Kept()
+        late = [r for r in rows if r[0] < 1500]
+        for part in ([r for r in rows if r[0] >= 1500], late[::-1], late):
+            parts = [pd.DataFrame(part[i : i + 700], columns=columns) for i in range(0, len(part), 700)]
+            (out,) = job.handleInputRows(("x",), iter(parts), None)
+            asked = job._early.calls if part[0][0] >= 1500 else asked
+        got = out.iloc[0]
+        assert (got["turns"], got["rereads"], got["read_to"], got["waiting"]) == (3000, 2999, 3000, False)
+        assert not job._early.map and job._files.map == {("a.py",): (3000,)}
+        if held > 7:
+            assert asked <= 150 and job._files.calls < 10

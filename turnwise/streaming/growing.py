@@ -30,39 +30,54 @@ REPORT = (
 )
 
 
+#: Lines and files of a log that a call keeps in memory before it asks the state for each.
+MOST_HELD = 50_000
+#: Early lines under one key of the state.
+LINES_A_KEY = 256
+
+
 class GrowingLog(StatefulProcessor):
-    """Counters of `Se.session_metrics` over the lines of a log in order of (at, line)."""
+    """Counters of `Se.session_metrics` over the lines of a log in order of (at, line).
+
+    The state is asked for a file once in a call and told of it once at the end. Early lines of a call wait in
+    memory and go to the state only if their gap is still open at its end.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._fold = handle.getValueState("fold", FOLD)
         self._files = handle.getMapState("files", "file string", "n long")
-        self._early = handle.getMapState("early", "at long, line long", "row string")
+        self._early = handle.getMapState("early", "at long, part long", "rows string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         names = [f.split()[0] for f in FOLD.split(", ")]
         saved = self._fold.get()
         s = dict(zip(names, saved, strict=True)) if saved else dict.fromkeys(names, 0)
+        self._seen: dict[str, int] = {}
+        self._waiting: dict[tuple[int, int], dict[int, list]] = {}
+        self._n = 0
+        if 0 < s["held"] <= MOST_HELD:
+            for (at, part), (text,) in self._early.iterator():
+                self._waiting[(at, part)] = {int(k): v for k, v in json.loads(text).items()}
+            self._early.clear()
+            self._n, s["held"] = s["held"], 0
         for chunk in rows:
             chunk = chunk.sort_values(["at", "line"], kind="stable")
             fields = ("at", "line", "lines", "size", "tokens", "is_tool", "is_error", "files")
             for row in zip(*[chunk[c] for c in fields], strict=True):
                 at, line, lines, size, tokens, tool, error, files = row
                 here = (int(at), int(line))
-                value = [int(lines), int(size), int(tokens), bool(tool), bool(error), [] if files is None else [str(f) for f in files]]
                 if here < (s["at"], s["line"]):
                     continue
-                held = s["held"] > 0 and self._early.containsKey(here)
+                value = [int(lines), int(size), int(tokens), bool(tool), bool(error), [] if files is None else [str(f) for f in files]]
                 if here == (s["at"], s["line"]):
+                    self._release(s, here)
                     self._take(s, *value)
-                    if held:
-                        self._release(s, here)
-                elif not held:
-                    self._early.updateValue(here, (json.dumps(value),))
-                    s["held"] += 1
-            while s["held"] and self._early.containsKey((s["at"], s["line"])):
-                here = (s["at"], s["line"])
-                self._take(s, *json.loads(self._early.getValue(here)[0]))
-                self._release(s, here)
+                else:
+                    self._hold(s, here, value)
+            while (value := self._release(s, (s["at"], s["line"]))) is not None:
+                self._take(s, *value)
+        self._write_early(s)
+        self._write_files()
         self._fold.update(tuple(s[n] for n in names))
         open_sample = s["turns"] > Se.SAMPLE_EVERY and s["turns"] % Se.SAMPLE_EVERY and s["sample"] > Se.GROWTH_TOKENS
         yield pd.DataFrame(
@@ -80,17 +95,60 @@ class GrowingLog(StatefulProcessor):
             }
         )
 
-    def _release(self, s: dict, here: tuple[int, int]) -> None:
-        self._early.removeKey(here)
-        s["held"] -= 1
+    def _stored(self, s: dict, block: tuple[int, int]) -> dict[int, list]:
+        if not s["held"] or not self._early.containsKey(block):
+            return {}
+        return {int(k): v for k, v in json.loads(self._early.getValue(block)[0]).items()}
+
+    def _hold(self, s: dict, here: tuple[int, int], value: list) -> None:
+        block = (here[0], here[1] // LINES_A_KEY)
+        lines = self._waiting.setdefault(block, {})
+        if here[1] not in lines and here[1] not in self._stored(s, block):
+            lines[here[1]] = value
+            self._n += 1
+            if self._n > MOST_HELD:
+                self._write_early(s)
+
+    def _release(self, s: dict, here: tuple[int, int]) -> list | None:
+        """The early line at this place, which no longer waits; None if there is none."""
+        block = (here[0], here[1] // LINES_A_KEY)
+        value = self._waiting.get(block, {}).pop(here[1], None)
+        if value is not None:
+            self._n -= 1
+            return value
+        stored = self._stored(s, block)
+        value = stored.pop(here[1], None)
+        if value is not None:
+            s["held"] -= 1
+            if stored:
+                self._early.updateValue(block, (json.dumps(stored),))
+            else:
+                self._early.removeKey(block)
+        return value
+
+    def _write_early(self, s: dict) -> None:
+        for block, lines in self._waiting.items():
+            if lines:
+                self._early.updateValue(block, (json.dumps(self._stored(s, block) | lines),))
+        s["held"] += self._n
+        self._waiting, self._n = {}, 0
+
+    def _write_files(self) -> None:
+        for file, n in self._seen.items():
+            self._files.updateValue((file,), (n,))
+        self._seen = {}
 
     def _take(self, s: dict, lines: int, size: int, tokens: int, tool: bool, error: bool, files: list[str]) -> None:
         if lines:
             self._turn(s, tokens, tool, error)
         for file in files:
-            seen = int(self._files.getValue((file,))[0]) if self._files.containsKey((file,)) else 0
+            seen = self._seen.get(file)
+            if seen is None:
+                seen = int(self._files.getValue((file,))[0]) if self._files.containsKey((file,)) else 0
             s["rereads"] += seen > 0
-            self._files.updateValue((file,), (seen + 1,))
+            self._seen[file] = seen + 1
+            if len(self._seen) > MOST_HELD:
+                self._write_files()
         s["line"] += 1
         if s["line"] >= lines:
             s["at"], s["line"] = s["at"] + size, 0
