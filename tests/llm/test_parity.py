@@ -1,6 +1,7 @@
 """The parity-sketch join against all pairs."""
 
 import collections
+import os
 import random
 
 import numpy as np
@@ -118,3 +119,24 @@ def test_edges(spark, odd_docs, empty_docs):
     assert parity.similarity_join(empty_docs).count() == 0
     none = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (None, None)], "doc_id long, text string")
     assert sorted(parity.similarity_join(none).collect(), key=str) == sorted([(None, 1, 4), (4, 1, 4), (None, 0, None)], key=str)
+
+
+def test_texts_are_hashed_in_one_reading_and_again_only_if_they_meet(spark, tmp_path, monkeypatch):
+    """Every text is hashed once; only those with a segment in common are read a second time."""
+    original = parity.shingle_hashes
+
+    def counted(texts, *args, **kw):
+        with open(f"{tmp_path}/{os.getpid()}", "a") as f:
+            f.writelines(f"{t}\n" for t in texts)
+        return original(texts, *args, **kw)
+
+    monkeypatch.setattr(parity, "shingle_hashes", counted)
+    texts = [f"lone{i} b{i} c{i} d{i} e{i} f{i} g{i}" for i in range(30)]
+    near = [" ".join(f"x{i}" for i in range(40 + k)) for k in range(2)]
+    rows = list(enumerate([*texts, *near, near[0]]))
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in parity.similarity_join(df).collect())
+    want = brute(rows)
+    assert got == sorted([(i, *want[i]) for i, _ in rows] + [(0, *want[0])])
+    read = collections.Counter(x for p in tmp_path.iterdir() for x in p.read_text().splitlines())
+    assert all(read[t] == (2 if i == 0 else 1) for i, t in enumerate(texts)) and all(read[t] >= 2 for t in near)

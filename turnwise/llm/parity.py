@@ -27,6 +27,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -100,7 +101,7 @@ def sent_segments(h: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.n
     The tag is band and number of the cut, and in its lower half how many of the text's segments
     must be shared beyond this number for the text to have a partner.
     """
-    out = []
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     own = bands.of(counts)
     for below in (0, 1):
         band = own - below
@@ -174,29 +175,28 @@ class Join:
         self.bands, self.shingle = Bands(percent), shingle
         self.rows = df.select(F.col(id_col).cast("long").alias("id"), _row(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
 
-    def sets(self) -> DataFrame:
-        """(id, row, key, n) of each row; texts of one set have one key."""
-        shingle = self.shingle
+    def read(self) -> DataFrame:
+        """(cell, node, tag, own): the segments of all sets, and one row with `own` for each row of the table.
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for rows, texts in text_chunks(batch, "text", 2 << 20):
-                    h, counts = shingle_hashes(texts, shingle, once=True)
-                    cols = [rows.column("id"), rows.column("row"), pa.array(_set_keys(h, counts)), pa.array(counts)]
-                    yield pa.RecordBatch.from_arrays(cols, ["id", "row", "key", "n"])
-
-        return self.rows.mapInArrow(run, "id bigint, row bigint, key bigint, n bigint")
-
-    def segments(self) -> DataFrame:
-        """(cell, node, tag) of all sets; a task sends a set once."""
+        Both are made in one reading, as the hashes of the shingles cost more than anything else. A task sends
+        the segments of a set once; rows with `own` have a cell for themselves and their set's key as node.
+        """
         shingle, bands = self.shingle, self.bands
+        names = ["cell", "node", "tag", "own"]
+        own = pa.struct([(c, pa.int64()) for c in ("id", "row", "n", "place")])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
+            at = TaskContext.get().partitionId() << 40
             for batch in batches:
-                for _, texts in text_chunks(batch, "text", 2 << 20):
+                for rows, texts in text_chunks(batch, "text", 2 << 20):
                     h, counts = shingle_hashes(texts, shingle, once=True)
                     keys = _set_keys(h, counts)
+                    place = np.arange(at, at + len(keys))
+                    at += len(keys)
+                    mine = pa.StructArray.from_arrays([rows.column("id"), rows.column("row"), pa.array(counts), pa.array(place)], fields=list(own))
+                    alone = pa.array(mixed(place.astype(np.uint64) * STEP).view(np.int64))
+                    yield pa.RecordBatch.from_arrays([alone, pa.array(keys), pa.array(np.zeros(len(keys), np.int64)), mine], names)
                     if len(seen) > REMEMBERED:
                         seen.clear()
                     fresh = np.zeros(len(keys), bool)
@@ -207,15 +207,21 @@ class Join:
                     if not len(h):
                         continue
                     cell, text, tag = sent_segments(h, counts, bands)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(keys[text]), pa.array(tag)], ["cell", "node", "tag"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(keys[text]), pa.array(tag), pa.nulls(len(cell), own)], names)
+
+        return self.rows.mapInArrow(run, "cell bigint, node bigint, tag bigint, own struct<id: bigint, row: bigint, n: bigint, place: bigint>")
 
-        return self.rows.select("text").mapInArrow(run, "cell bigint, node bigint, tag bigint")
+    def sets(self) -> tuple[DataFrame, DataFrame]:
+        """(id, row, key, n) of each row, where texts of one set have one key, and (cell, node, tag) of the segments that sets share."""
+        cell = W.partitionBy("cell")
+        both = self.read().withColumn("low", F.min("node").over(cell)).withColumn("high", F.max("node").over(cell))
+        found = cut_lineage(both.filter("low < high OR own IS NOT NULL").select("cell", "node", "tag", "own").distinct())
+        rows = found.filter("own IS NOT NULL").select("own.id", "own.row", F.col("node").alias("key"), "own.n")
+        return cut_lineage(rows), found.filter("own IS NULL").select("cell", "node", "tag")
 
-    def meeting(self) -> DataFrame:
+    def meeting(self, shared: DataFrame) -> DataFrame:
         """(cell, node, score): for each set the segments in which it must meet any partner."""
-        cell, mine = W.partitionBy("cell"), W.partitionBy("node", "tag")
-        both = self.segments().withColumn("low", F.min("node").over(cell)).withColumn("high", F.max("node").over(cell))
-        shared = cut_lineage(both.filter("low < high").select("cell", "node", "tag").distinct())
+        mine = W.partitionBy("node", "tag")
         counted = shared.join(shared.groupBy("cell").agg(F.count("*").alias("c")), "cell")
         ranked = (
             counted.withColumn("t", F.count("*").over(mine))
@@ -316,10 +322,10 @@ def similarity_join(
     columns are ignored. No link between different sets is lost, and no number of partners is limited.
     """
     join = Join(df, percent, shingle, id_col, text_col)
-    rows = cut_lineage(join.sets())
+    rows, shared = join.sets()
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     nodes = rows.filter("n > 0").groupBy("key").agg(first).select("key", "first.id", "first.row")
-    meeting = join.meeting()
+    meeting = join.meeting(shared)
     pairs = join.proposed(meeting)
     met = meeting.select(F.col("node").alias("key")).distinct()
     sets = join.wanted_sets(cut_lineage(nodes.join(met, "key", "left_semi").select("key", "row")))
