@@ -46,6 +46,17 @@ def test_frequent_pairs(spark, side, minimum):
     assert got == {k: v for k, v in want.items() if v >= minimum}
 
 
+def test_frequent_pairs_take_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(U, "PAIR_ROWS", 20)
+    rng = random.Random(4)
+    rows = [rng.sample(range(40), rng.randrange(2, 7)) for _ in range(150)]
+    want = collections.Counter(p for r in rows for p in itertools.combinations(sorted(r), 2))
+    df = spark.createDataFrame(list(enumerate(rows)), "r int, ids array<int>")
+    found = U.frequent_pairs(df, "r", "ids", 2, 3)
+    assert {(x[0], x[1]): x[2] for x in found.collect()} == {k: v for k, v in want.items() if v >= 2}
+    assert found.rdd.getNumPartitions() >= sum(want.values()) / 20
+
+
 def test_median_of_ties_and_one_value(spark):
     rng = random.Random(8)
     groups = {"ties": [rng.choice([1.0, 2.0, 2.0, 7.5]) for _ in range(400)], "one": [3.0], "two": [4.0, 1.0], "spread": [2.0**i for i in range(99)]}

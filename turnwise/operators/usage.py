@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions.web import CTA_PREFIX
+from turnwise.session import cut_lineage
 
 
 def _text_or_unknown(value: Column) -> Column:
@@ -241,6 +242,8 @@ def pair_keys(ids: Column) -> Column:
 
 #: Ids of a row that are expanded into pairs at once.
 PAIR_SIDE = 256
+#: Ids or pairs that one task of `frequent_pairs` holds, about.
+PAIR_ROWS = 1 << 19
 
 
 def frequent_pairs(rows: DataFrame, row: str, ids: str, minimum: int, side: int = PAIR_SIDE) -> DataFrame:
@@ -249,24 +252,35 @@ def frequent_pairs(rows: DataFrame, row: str, ids: str, minimum: int, side: int
     A pair cannot be in more rows than either of its ids, so ids below `minimum` go before any
     pair is made. Rows with few ids are light: their pairs are made where they are. Heavy rows are
     cut into blocks of `side` ids, and every two blocks are a row of their own, dealt to all
-    tasks. `rows` has one row for each value of `row` and an array column `ids`.
+    tasks. There are as many tasks as ids and pairs need at `PAIR_ROWS` each, so a task's memory does not
+    grow with the table; both are counted when this is called. A task sends a pair once for each of its
+    few buckets. `rows` has one row for each value of `row` and an array column `ids`.
     """
     minimum = max(1, minimum)
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = lambda n: max(least, -(-int(n or 0) // PAIR_ROWS))
     long = rows.select(row, F.explode(F.array_distinct(ids)).alias("_i")).filter("_i IS NOT NULL")
     often = long.groupBy("_i").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= minimum)
-    lists = long.join(often.select("_i"), "_i", "left_semi").groupBy(row).agg(F.sort_array(F.collect_list("_i")).alias("_l"))
-    light = lists.filter((F.size("_l") > 1) & (F.size("_l") <= side)).select(F.col("_l").alias("_a"), F.col("_l").alias("_b"))
+    often = cut_lineage(often)
+    kept = long.join(often.select("_i"), "_i", "left_semi").repartition(tasks(often.agg(F.sum("_n")).first()[0]), row)
+    lists = cut_lineage(kept.groupBy(row).agg(F.sort_array(F.collect_list("_i")).alias("_l")).filter(F.size("_l") > 1))
+    size = F.size("_l").cast("long")
+    parts = tasks(lists.agg(F.sum(size * (size - 1) / 2)).first()[0])
+    bucket = lambda *key: F.pmod(F.xxhash64(*key), F.lit(16 * parts)).alias("_k")
+    light = lists.filter(F.size("_l") <= side).select(bucket(row), F.col("_l").alias("_a"))
     last = F.ceil(F.size("_l") / side).cast("int") - 1
     heavy = lists.filter(F.size("_l") > side).select("*", F.explode(F.sequence(F.lit(0), last)).alias("_x"))
     heavy = heavy.select("*", F.explode(F.sequence(F.col("_x"), last)).alias("_y"))
     block = lambda c: F.slice("_l", F.col(c) * side + 1, F.lit(side))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heavy = heavy.select(row, "_x", "_y", block("_x").alias("_a"), block("_y").alias("_b")).repartition(parts, row, "_x", "_y")
-    both = light.unionByName(heavy.select("_a", "_b"))
-    pairs = both.select(F.explode("_a").alias("left"), "_b").select(
-        "left", F.explode(F.filter("_b", lambda r: r > F.col("left"))).alias("right")
+    heavy = heavy.select(bucket(row, "_x", "_y"), block("_x").alias("_a"), block("_y").alias("_b"))
+    both = light.unionByName(heavy, allowMissingColumns=True).repartition(parts, "_k")
+    pairs = both.select("_k", F.explode("_a").alias("left"), F.coalesce("_b", "_a").alias("_b")).select(
+        "_k", "left", F.explode(F.filter("_b", lambda r: r > F.col("left"))).alias("right")
     )
-    return pairs.groupBy("left", "right").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= minimum)
+    # rows lie by bucket already, so these counts need no exchange
+    own = pairs.groupBy("_k", "left", "right").agg(F.count(F.lit(1)).alias("_n"))
+    counts = own.select("left", "right", "_n").repartition(parts, "left", "right").groupBy("left", "right")
+    return counts.agg(F.sum("_n").alias("count")).filter(F.col("count") >= minimum)
 
 
 def cohort_summary(events: DataFrame, minimum: int = 10) -> tuple[DataFrame, DataFrame]:
