@@ -1,7 +1,10 @@
 """Files, feeds, bundles, selection."""
 
+import gzip
+import hashlib
 import io
 import itertools
+import random
 import tarfile
 
 import pytest
@@ -77,3 +80,53 @@ def test_window_parameters():
     for bad in ({"days": "91"}, {"days": "0"}, {"since": "2400h"}, {"since": "x"}):
         with pytest.raises(ValueError):
             U.lookback_seconds(**bad)
+
+
+def test_files_are_hashed_in_ranges(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    noise = rng.randbytes(6_000)
+    files = {
+        "noise.bin": noise,
+        "ends.bin": noise[:5_000].rstrip(b"\n") + b"\n",
+        "open.bin": noise[:3_999].rstrip(b"\n") + b"x",
+        "blank.txt": b"\n" * 5_000,
+        "one line.txt": b"x" * 4_321,
+        "crlf.txt": b"a\r\n\r" * 801,
+        "edges.txt": (b"y" * 999 + b"\n") * 4,
+        "marked.txt": b"\xef\xbb\xbf" + noise[:3_000] + b"\n",
+        "marked twice.txt": b"\xef\xbb\xbf" * 2 + noise[:3_000] + b"z",
+        "packed.gz": gzip.compress(noise),
+        "not packed.gz": noise[5:],
+        "odd[1]{a,b}*?%20,\\.bin": noise[3:],
+        "d=1/noise.bin": noise[4:],
+        "d=1/same.bin": noise,
+        "small.bin": b"abc",
+        "limit.bin": noise[:1_000],
+    }
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    whole, read = feeds.range_hashes, []
+    monkeypatch.setattr(feeds, "range_hashes", lambda spark, files, *more: (read.extend(files), whole(spark, files, *more))[1])
+    rows = feeds.file_index(spark, str(tmp_path), range_bytes=1_000).collect()
+    got = {r.path.removeprefix(f"file:{tmp_path}/"): (r.bytes, r.sha256) for r in rows}
+    assert sorted(got) == sorted(files) and len(rows) == len(files)
+    assert got == {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in files.items()}
+    assert {p.removeprefix(f"file:{tmp_path}/") for p, _ in read} == {n for n, d in files.items() if len(d) > 1_000 and not n.endswith(".gz")}
+
+
+def test_no_task_reads_more_than_a_range(spark, tmp_path):
+    path = tmp_path / "a.bin"
+    path.write_bytes(random.Random(6).randbytes(100_000))
+    session = spark.newSession()
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        session.conf.set(f"spark.sql.files.{name}", 10_000)
+    sizes = feeds._ranges(session, str(path), 0).mapPartitions(lambda rows: [sum(len(r.block) + 1 for r in rows)]).collect()
+    assert len(sizes) == 10 and sum(sizes) in (100_000, 100_001) and max(sizes) < 15_000
+
+
+def test_files_are_hashed_whole_where_digests_stay(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.bin").write_bytes(b"a\n" * 3_000)
+    monkeypatch.setattr(feeds, "can_hand_on", lambda: False)
+    (row,) = feeds.file_index(spark, str(tmp_path), range_bytes=1_000).collect()
+    assert (row.bytes, row.sha256) == (6_000, hashlib.sha256(b"a\n" * 3_000).hexdigest())
