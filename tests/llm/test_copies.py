@@ -87,6 +87,23 @@ def test_automata_remove_what_brute_force_does(spark, monkeypatch, length, core,
     assert [got[i] for i in range(len(texts))] == brute_words(texts, length)
 
 
+def test_planted_passages_are_removed_and_clean_texts_stay(spark):
+    """A passage of 400 bytes goes from each text that has it, a shorter one stays; `n_bytes` tells nothing of it."""
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages = {400: noise(400), 399: noise(399), 900: noise(900)}
+    texts, want = [], []
+    for n in (400, 399, 900, 0, 900, 400, 0, 399):
+        before, after = "<" + noise(rng.randrange(500)) + ">", "<" + noise(rng.randrange(500)) + ">"
+        before, after = f"{before}{len(texts)}", f"{len(texts)}{after}"
+        texts.append(before + passages.get(n, "") + after)
+        kept = texts[-1] if n < 400 else before + after
+        want.append((len(texts[-1]), n if n >= 400 else 0, int(n >= 400), hashlib.sha256(kept.encode()).hexdigest()))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: tuple(r[1:]) for r in suffix_sort.deduplicate(df, digests=True).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_merge_gives_order_and_common_prefixes():
     rng = random.Random(5)
     for _ in range(200):
