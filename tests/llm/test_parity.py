@@ -105,6 +105,22 @@ def test_partners_always_meet(monkeypatch):
         assert any(set(prefix(0, t)) & set(prefix(1, t)) for t in set(of[0]) & set(of[1])), (trial, len(a), len(b))
 
 
+@pytest.mark.parametrize("percent", [51, 60, 70, 80, 95])
+def test_cutting_ends_at_any_limit(monkeypatch, percent):
+    """Texts of all sizes soon have more segments than partners can touch; up to one half no number of cuts is enough."""
+    cuts, original = iter(range(80)), parity._segment_keys
+    monkeypatch.setattr(parity, "_segment_keys", lambda *a: next(cuts) >= 0 and original(*a))
+    counts = np.r_[np.arange(400), 3000, 20_000]
+    h = np.random.default_rng(percent).integers(0, 2**63, int(counts.sum())).astype(np.uint64)
+    h = h[np.lexsort((h, np.repeat(np.arange(len(counts)), counts)))]
+    bands = parity.Bands(percent)
+    key, text, tag = parity.sent_segments(h, counts, bands)
+    linkable = counts[bands.apart(counts + bands.partner(counts)) > 0]
+    assert len(key) == len(tag) and set(linkable) <= set(counts[text])
+    with pytest.raises(ValueError, match="percent"):
+        parity.Bands(50)
+
+
 def test_query_on_documents(spark, sf, docs):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     got = {r[0]: tuple(r[1:]) for r in queries.QUERIES["op13_parity_join"](spark, sf).collect()}

@@ -49,10 +49,14 @@ REMEMBERED = 1 << 20
 
 @dataclass(frozen=True)
 class Bands:
-    """Sizes in bands for a similarity of `percent` or more."""
+    """Sizes in bands for a similarity of `percent` or more, over 50: else a partner may touch all segments of a text."""
 
     percent: int = 80
 
+    def __post_init__(self):
+        if self.percent <= 50:
+            raise ValueError(f"percent must be over 50, not {self.percent}")
+
     @cache  # noqa: B019
     def tops(self) -> np.ndarray:
         """Largest size of each band; the largest partner of a band's sizes is in the next one."""
@@ -76,9 +80,14 @@ class Bands:
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.tops(), n)
 
+    @cache  # noqa: B019
     def segments(self) -> np.ndarray:
-        b = self.bounds()
-        return b + 2 + b // 8
+        """Somewhat more than the bound, and so many that the shingles of a band's sizes turn bits in more than the bound."""
+        b, n = self.bounds(), self.tops()
+        m = b + 2 + b // 8
+        while len(few := np.flatnonzero(-m * np.expm1(n * np.log1p(-1 / m)) < b + 0.5 + np.minimum(b, n - b) / 50)):
+            m[few] += 1 + m[few] // 8
+        return m
 
     def widths(self) -> np.ndarray:
         """Bits of the narrow sketch."""
@@ -119,10 +128,11 @@ def sent_segments(h: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.n
                 mine = mine[np.lexsort((mine, np.repeat(np.arange(len(some)), n)))]
             b = band[some]
             bound = bands.bounds()[b]
+            own_bound = bands.apart(n + (bands.tops()[b] if below else bands.partner(n)))
             key, text, filled = _segment_keys(mine, n, bands.segments()[b], b << 8 | cut)
             free = np.maximum(filled - bound - 1, 0)
             out.append((key, some[text], (b << 8 | cut)[text] << 32 | free[text]))
-            some, cut = some[filled <= bound], cut + 1
+            some, cut = some[filled <= own_bound], cut + 1
     key, text, tag = (np.concatenate(x) for x in zip(*out, strict=True))
     return key, text, tag
 
@@ -315,7 +325,7 @@ def similarity_join(
 
     ASCII letters are lower-cased, words split at ASCII white space; a text's set has its
     distinct shingles of `shingle` words (all words, if there are fewer). Two texts are linked if
-    100 * shared >= `percent` * all shingles of both, and `component_id` is the smallest id
+    100 * shared >= `percent` (over 50) * all shingles of both, and `component_id` is the smallest id
     reachable. Shingles are told apart by 64-bit hashes. A null, empty or blank text has an empty
     set and is linked with nothing: its component is its own id. Ids are integers, null ids count
     for no component's smallest; repeated rows are one set; an empty table gives none; other
